@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shapelake.llm import q_quality
+from shapelake.llm import q_mixing, q_packing, q_quality, q_secrets, q_url
 
-MODULES = (q_quality,)
+MODULES = (q_quality, q_packing, q_mixing, q_secrets, q_url)
 
 
 def queries() -> dict:
