@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,27 +57,28 @@ def _star_measure(stars: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Labels every node that has an edge with the smallest node of its component.
 
-    Alternates large-star and small-star rounds: each points nodes at the
-    smallest neighbour known, which takes a number of rounds that grows with
-    the logarithm of the longest path. Edges may be repeated, reversed or
-    loops; null ends are ignored. Returns (node, component).
+    Alternates large-star and small-star: each points nodes at the smallest
+    neighbour known, which takes a number of rounds that grows with the
+    logarithm of the longest path. A round shuffles twice, by the node whose
+    neighbours it compares. Edges may be repeated, reversed or loops; null
+    ends are ignored. Returns (node, component).
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    stars = written(pairs.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct())
+    pairs = written(pairs.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct())
+    lowest = F.min("dst").over(Window.partitionBy("src"))
+
+    def by_node(e: DataFrame) -> DataFrame:
+        return e.repartition("src").distinct()  # one shuffle serves both, and the window after them
 
     def step(e: DataFrame) -> DataFrame:
         both = e.select("src", "dst").unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        large = large.unionAll(low.where("src = m").select("src", F.col("m").alias("dst"))).distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(low, "src")
-        return (
-            small.select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-            .unionAll(small.select("src", F.col("m").alias("dst")))
-            .distinct()
-        )
-
-    stars = until_stable(stars, step, _star_measure, max_rounds)
-    nodes = stars.select("src", "dst").unionAll(stars.select(F.col("dst").alias("src"), "dst"))
-    return nodes.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+        large = by_node(both).withColumn("m", F.least("src", lowest)).where("dst > src")
+        small = by_node(large.select(F.col("dst").alias("src"), F.col("m").alias("dst"))).withColumn("m", lowest)
+        # A node's lowest neighbour becomes its own, and that of its other neighbours.
+        return small.select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
+
+    stars = until_stable(pairs.where("src != dst"), step, _star_measure, max_rounds)
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), "dst"), F.struct(F.col("dst").alias("node"), "dst")))
+    nodes = stars.select(ends.alias("e")).select("e.node", "e.dst")
+    nodes = nodes.unionAll(pairs.where("src = dst").select(F.col("src").alias("node"), "dst"))
+    return nodes.groupBy("node").agg(F.min("dst").alias("component"))
