@@ -2,5 +2,218 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shapelake import oracle
+from shapelake.operators import fourier, masks, outline_building, outline_metrics, pixels, regions, sessions, splines
+from shapelake.plans.rounds import written
+from shapelake.sources import reports, tables
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to so many digits, fewer than engines differ in; whole numbers as long."""
+    kinds = {"double": lambda c: F.round(c, digits) + 0.0, "int": lambda c: F.col(c).cast("long")}
+    return df.select(*[kinds[k](c).alias(c) if k in kinds else F.col(c) for c, k in df.dtypes])
+
+
+def _outline(f: Callable[[DataFrame], DataFrame], digits: int = 6):
+    return lambda spark, sf_dir: rounded(f(tables.outlines(spark, sf_dir)), digits)
+
+
+def _efd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fourier.efd_raw(tables.outlines(spark, sf_dir), 10)
+
+
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.assemble(tables.clicks(spark, sf_dir), 3)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.assemble(tables.clicks(spark, sf_dir), 2)
+
+
+def _kinds(n: str = "op_seq"):
+    names = ("square", "circle", "rectangle", "ellipse")
+    out = F.lit(names[0])
+    for i, name in enumerate(names[1:], 1):
+        out = F.when(F.col(n) % 4 == i, name).otherwise(out)
+    return out
+
+
+def _modes():
+    names = ("none", "parallel", "perpendicular", "angle")
+    out = F.lit(names[0])
+    for i, name in enumerate(names[1:], 1):
+        out = F.when(F.floor(F.col("op_seq") / 3) % 4 == i, name).otherwise(out)
+    return out
+
+
+def _pixels(f: Callable[[DataFrame], DataFrame]):
+    return lambda spark, sf_dir: rounded(f(tables.pixels(spark, sf_dir)))
+
+
+def _mask(f: Callable[[DataFrame, DataFrame], DataFrame], condition: str = tables.MASK):
+    def run(spark, sf_dir):
+        raster = tables.pixels(spark, sf_dir)
+        return rounded(f(raster.where(condition).select("image_id", "x", "y"), pixels.dimensions(raster)))
+
+    return run
+
+
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("image_id"))
+    return images.select("image_id", F.lit(16).alias("x"), F.lit(16).alias("y"))
+
+
+def _background(spark, sf_dir, relaxed=False):
+    raster = tables.pixels(spark, sf_dir)
+    corners = pixels.corner_colors(raster)
+    f = regions.background_mask_relaxed if relaxed else regions.background_mask
+    return f(raster, corners, pixels.adaptive_threshold(corners))
+
+
+def _coloured(spark, sf_dir, background=None):
+    at = _seeds(spark, sf_dir).withColumnsRenamed({"x": "sx", "y": "sy"})
+    return pixels.seed_color(tables.pixels(spark, sf_dir), at, background).withColumnsRenamed({"sx": "x", "sy": "y"})
+
+
+def _flood(spark, sf_dir):
+    bg = written(_background(spark, sf_dir))
+    return regions.flood_fill(tables.pixels(spark, sf_dir), _coloured(spark, sf_dir, bg), bg)
+
+
+def _watershed(spark, sf_dir):
+    return regions.watershed(tables.pixels(spark, sf_dir), _seeds(spark, sf_dir), written(_background(spark, sf_dir)), 1)
+
+
+def _segmented_outlines(spark, sf_dir):
+    """From pixels to the metrics of the cleaned outline: the whole chain."""
+    raster = tables.pixels(spark, sf_dir)
+    dims = written(pixels.dimensions(raster))
+    found = written(_flood(spark, sf_dir))
+    clean = masks.clean_mask(found, dims, _seeds(spark, sf_dir))
+    return outline_metrics.shape_metrics(outline_building.build_outline(written(clean)))
+
+
+def _traced(spark, sf_dir):
+    blob = written(tables.masks(spark, sf_dir, tables.BLOB))
+    m = outline_metrics.perimeter_area(outline_building.trace_boundary(blob))
+    return m.select(F.col("outline_id").alias("image_id"), "n", "perimeter", "area")
+
+
+def _splines(spark, sf_dir):
+    doubled = sessions.assemble_splines(tables.clicks(spark, sf_dir), F.col("event_type") == "signup")
+    line = F.struct("session_id", "op_seq")
+    return doubled.select(line.alias("line_id"), "seq", "x", "y")
+
+
+def _catmull(spark, sf_dir):
+    lines = tables.polylines(spark, sf_dir)
+    return rounded(splines.spline_metrics(splines.catmull_rom(lines), lines), 4)
+
+
+def _click_splines(spark, sf_dir):
+    lines = written(_splines(spark, sf_dir))
+    m = splines.spline_metrics(splines.catmull_rom(lines), lines)
+    return rounded(m.select("line_id.session_id", "line_id.op_seq", *[c for c in m.columns if c != "line_id"]), 4)
+
+
+def _bezier(spark, sf_dir):
+    lines = tables.polylines(spark, sf_dir)
+    fitted = written(splines.fit_bezier(lines))
+    return rounded(splines.spline_metrics(splines.sample_bezier(fitted), lines), 3)
+
+
+def _simplified(spark, sf_dir):
+    return rounded(splines.simplify(tables.polylines(spark, sf_dir), 20.0))
+
+
+def _carved(spark, sf_dir):
+    strokes = _seeds(spark, sf_dir).select("image_id", F.lit(16.0).alias("cx"), F.lit(12.0).alias("cy"), F.lit(3.0).alias("radius"))
+    raster = tables.pixels(spark, sf_dir)
+    return rounded(masks.area(masks.carve(written(raster.where(tables.BLOB).select("image_id", "x", "y")), written(pixels.dimensions(raster)), strokes)))
+
+
+def _named(spark, sf_dir):
+    return reports.name_specimens(tables.specimens(spark, sf_dir))
+
+
+def _csv_lines(spark, sf_dir):
+    efd = rounded(fourier.efd_normalized(_efd(spark, sf_dir)), 4)
+    return rounded(reports.efd_csv_lines(reports.bank_specimens(efd, _named(spark, sf_dir))))
+
+
+def _summary(spark, sf_dir):
+    return reports.metadata_summary(outline_metrics.shape_metrics(tables.outlines(spark, sf_dir)), fourier.efd_normalized(_efd(spark, sf_dir)))
+
+
+def _component_sizes(mask: DataFrame, dims: DataFrame) -> DataFrame:
+    return masks.components(mask).groupBy("image_id", "cy", "cx").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "outline_perimeter_area": _outline(outline_metrics.perimeter_area),
+    "outline_shape_metrics": _outline(outline_metrics.shape_metrics, 4),
+    "turning_angles": _outline(lambda o: outline_metrics.turning_angles(o).select("outline_id", "seq", "angle")),
+    "self_intersects": _outline(outline_metrics.self_intersections),
+    "resample": _outline(lambda o: outline_metrics.resample(o, 4.0)),
+    "smooth_outline": _outline(lambda o: outline_metrics.smooth(o, 5)),
+    "packed_outlines": _outline(lambda o: outline_metrics.unpack(outline_metrics.pack(o))),
+    "landmark_metrics": lambda s, d: rounded(outline_metrics.perimeter_area(tables.landmark_outlines(s, d))),
+    "efd_raw": lambda s, d: rounded(_efd(s, d)),
+    "efd_normalized": lambda s, d: rounded(fourier.efd_normalized(_efd(s, d))),
+    "efd_reconstruct": lambda s, d: rounded(fourier.reconstruct(_efd(s, d), fourier.vertex_mean(tables.outlines(s, d)))),
+    "projection_series": lambda s, d: rounded(fourier.projection_series(fourier.efd_normalized(_efd(s, d)))),
+    "circular_arc_metrics": lambda s, d: rounded(sessions.circular_arc_metrics(_triples(s, d)), 4),
+    "parabola_metrics": lambda s, d: rounded(sessions.parabola_metrics(_triples(s, d)), 4),
+    "triangle_metrics": lambda s, d: rounded(sessions.triangle_metrics(_triples(s, d)), 4),
+    "shape_metrics": lambda s, d: rounded(sessions.shape_metrics(_pairs(s, d), _kinds()), 4),
+    "line_metrics": lambda s, d: rounded(sessions.line_metrics(_pairs(s, d)), 4),
+    "constrained_line_metrics": lambda s, d: rounded(sessions.line_metrics(sessions.constrain_lines(_pairs(s, d), _modes(), F.lit(30.0))), 4),
+    "catmull_rom_metrics": _catmull,
+    "click_spline_metrics": _click_splines,
+    "bezier_fit": _bezier,
+    "arc_length": lambda s, d: rounded(splines.arc_length(tables.polylines(s, d))),
+    "simplify": _simplified,
+    "adjust_pixels": _pixels(lambda p: pixels.adjust(p, 0.2, -0.1, 0.3)),
+    "downsample": _pixels(lambda p: pixels.downsample(p, 300)),
+    "corner_colors": _pixels(pixels.corner_colors),
+    "adaptive_threshold": _pixels(lambda p: pixels.adaptive_threshold(pixels.corner_colors(p))),
+    "seed_color": lambda s, d: rounded(_coloured(s, d)),
+    "box_blur": _pixels(lambda p: pixels.box_blur(p, 2)),
+    "sobel": _pixels(pixels.sobel_gradient),
+    "distance_transform": _mask(masks.distance_transform),
+    "erode": _mask(lambda m, d: masks.erode(m, d, 1)),
+    "dilate": _mask(lambda m, d: masks.dilate(m, d, 2)),
+    "open_close": _mask(lambda m, d: masks.closed(masks.opened(m, d, 1), d, 1), tables.BLOB),
+    "mask_bounds": _mask(lambda m, d: masks.bounds(m, d, 2), tables.BLOB),
+    "strip_border": _mask(lambda m, d: masks.strip_border(m, d, 5)),
+    "corridor": _mask(lambda m, d: masks.enforce_corridor(m, d, 3)),
+    "smooth_topology": _mask(lambda m, d: masks.smooth_topology(m, d, 1)),
+    "components": _mask(_component_sizes),
+    "largest_component": _mask(lambda m, d: masks.area(masks.largest_component(m))),
+    "fill_holes": _mask(lambda m, d: masks.area(masks.fill_holes(m, d))),
+    "prune_dead_ends": _mask(masks.prune_dead_ends),
+    "clean_shape": _mask(lambda m, d: masks.area(masks.clean_shape(m, written(d)))),
+    "clean_each_component": _mask(lambda m, d: masks.area(masks.clean_each_component(m, written(d)))),
+    "background_mask": lambda s, d: rounded(_background(s, d)),
+    "background_mask_relaxed": lambda s, d: rounded(_background(s, d, True)),
+    "flood_fill": lambda s, d: rounded(_flood(s, d)),
+    "interior_peak": lambda s, d: rounded(regions.interior_peak(tables.pixels(s, d), _seeds(s, d), _background(s, d))),
+    "watershed": lambda s, d: rounded(_watershed(s, d)),
+    "trace_boundary": lambda s, d: rounded(_traced(s, d)),
+    "segmented_outline_metrics": lambda s, d: rounded(_segmented_outlines(s, d), 4),
+    "convex_hull": _outline(outline_building.convex_hull),
+    "solidity": _outline(outline_building.solidity, 4),
+    "rasterize": lambda s, d: rounded(masks.rasterize(tables.outlines(s, d))),
+    "carve": _carved,
+    "specimen_names": _named,
+    "efd_csv_lines": _csv_lines,
+    "metadata_summary": _summary,
+    "replay_history": lambda s, d: sessions.replay_history(tables.op_log(s, d)),
+    "latest_result": lambda s, d: rounded(sessions.latest_result(tables.op_log(s, d)), 4),
+}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
