@@ -204,23 +204,28 @@ def exact_links(sets: list[np.ndarray], percent: int, columns: int = 8192) -> np
 
 
 def group_links(texts: DataFrame, p: JoinParameters) -> DataFrame:
-    """Links (a, b) that span each group's components, from (grp, id, text); a group is small enough for one task."""
+    """(a, b) with the smallest id a of each other id b's component, from (grp, id, text) in order of grp.
+
+    Links are between members of a group only, and a group is small enough for
+    one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(ids, sets):
-            if len(set(ids)) < 2:
-                return [], []
-            linked = exact_links(sets, p.threshold_percent)
-            waiting, a, b = np.arange(len(ids)), [], []
+        def stars(ids, sets):
+            linked = exact_links(sets, p.threshold_percent) if len(set(ids)) > 1 else None
+            waiting, a, b = np.arange(len(ids) if linked is not None else 0), [], []
             while len(waiting):
-                queue, waiting = [waiting[0]], waiting[1:]
+                queue, waiting, found = [waiting[0]], waiting[1:], [waiting[0]]
                 while queue and len(waiting):
-                    i = queue.pop()
-                    near = linked[i][waiting]
-                    a += [ids[i]] * int(near.sum())
-                    b += [ids[j] for j in waiting[near]]
+                    near = linked[queue.pop()][waiting]
+                    found.extend(waiting[near])
                     queue.extend(waiting[near])
                     waiting = waiting[~near]
+                names = {ids[i] for i in found}
+                root = min(names)
+                others = sorted(names - {root})
+                a += [root] * len(others)
+                b += others
             return a, b
 
         def out(a, b):
@@ -232,13 +237,13 @@ def group_links(texts: DataFrame, p: JoinParameters) -> DataFrame:
             groups, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for g, i, s in zip(groups, own, shingle_sets(batch.column(2), p.shingle), strict=True):
                 if g != group:
-                    x, y = links(ids, sets)
+                    x, y = stars(ids, sets)
                     a, b = a + x, b + y
                     group, ids, sets = g, [], []
                 ids.append(i)
                 sets.append(s)
             yield out(a, b)
-        yield out(*links(ids, sets))
+        yield out(*stars(ids, sets))
 
     return texts.mapInArrow(run, "a long, b long")
 
@@ -264,16 +269,14 @@ def near_duplicates(
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
     texts = texts.join(clusters.select(F.col("node").alias("id")), "id", "left_semi")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    large = sizes.where(f"size > {p.block}")
-    wide = large.limit(1).count() > 0
     placed = clusters.select(F.col("node").alias("id"), "cluster")
-    if not wide:
+    if not sizes.where(f"size > {p.block}").limit(1).count():
         links = _confirmed(placed.select(F.col("cluster").alias("grp"), "id"), texts, p)
     else:
         links = _links_in_blocks(written(placed.join(sizes, "cluster")), written(texts), p)
-    labels = connected_components(links, "a", "b")
+    labels = links.select(F.col("b").alias("rep"), F.col("a").alias("component"))
     out = table.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
-    out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    out = out.join(labels, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -282,37 +285,40 @@ def near_duplicates(
 
 
 def _links_in_blocks(placed: DataFrame, texts: DataFrame, p: JoinParameters) -> DataFrame:
-    """Links of clusters of any size, from (id, cluster, size)."""
+    """What group_links returns, for clusters of any size, from (id, cluster, size)."""
     block = F.when(F.col("size") > p.block, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / p.block))).otherwise(0)
     placed = placed.withColumn("block", block)
-    links = _confirmed(placed.select(F.xxhash64("cluster", "block").alias("grp"), "id"), texts, p)
-
-    def components(links):
-        found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-        large = placed.where(f"size > {p.block}")
-        return written(large.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
-
-    # Delegates of each component, spread anew: most components of a cluster join here.
-    for turn in range(2):
-        now = components(links)
-        parts = now.groupBy("cluster", "component").agg(F.count("*").alias("part"), F.min("id").alias("least"))
-        chosen = now.join(parts, ["cluster", "component"])
-        chosen = chosen.where(F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("part") / p.delegates)) == 0)
-        spread = chosen.groupBy("cluster").agg(F.ceil(F.count("*") / p.block).alias("groups"))
-        chosen = chosen.join(spread, "cluster")
-        grp = F.xxhash64("cluster", F.pmod(F.xxhash64("component", F.lit(turn)), F.col("groups")))
-        links = written(links.unionAll(_confirmed(chosen.select(grp.alias("grp"), "id"), texts, p)))
+    stars = _confirmed(placed.select(F.xxhash64("cluster", "block").alias("grp"), "id"), texts, p)
+    large = written(placed.where(f"size > {p.block}"))
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        return written(large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+
+    def joined(now: DataFrame, more: DataFrame) -> DataFrame:
+        edges = now.select(F.col("component").alias("a"), F.col("id").alias("b")).unionAll(more)
+        return labelled(connected_components(edges, "a", "b").withColumnRenamed("node", "id"))
+
+    # Blocks hold each id once: their stars are components already. Delegates of each join most of a cluster.
+    now = labelled(stars.select(F.col("b").alias("id"), F.col("a").alias("component")))
+    parts = now.groupBy("cluster", "component").agg(F.count("*").alias("part"))
+    chosen = now.join(parts, ["cluster", "component"])
+    chosen = chosen.where(F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("part") / p.delegates)) == 0)
+    spread = chosen.groupBy("cluster").agg(F.ceil(F.count("*") / p.block).alias("groups"))
+    grp = F.xxhash64("cluster", F.pmod(F.xxhash64("component", F.lit(1)), F.col("groups")))
+    now = joined(now, _confirmed(chosen.join(spread, "cluster").select(grp.alias("grp"), "id"), texts, p))
     # What is outside the largest component meets the whole cluster, a chunk at a time.
-    now = components(links)
     parts = now.groupBy("cluster", "component").agg(F.count("*").alias("part"))
     largest = parts.groupBy("cluster").agg(F.max_by("component", F.struct("part", "component")).alias("largest"))
     outside = now.join(largest, "cluster").where("component != largest")
     chunks = outside.groupBy("cluster").agg(F.ceil(F.count("*") / p.block).cast("int").alias("chunks"))
     outside = outside.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     blocks = F.sequence(F.lit(0), (F.ceil(F.col("size") / p.block) - 1).cast("int"))
-    probes = outside.select("cluster", "id", "chunk", F.explode(blocks).alias("block"))
-    against = now.join(chunks, "cluster").select(
-        "cluster", "id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("block").cast("int")
-    )
-    pairs = probes.unionByName(against).select(F.xxhash64("cluster", "chunk", "block").alias("grp"), "id").distinct()
-    return written(links.unionAll(_confirmed(pairs, texts, p)))
+    probes = written(outside.select("cluster", "id", "chunk", F.explode(blocks).alias("block")))
+    if probes.limit(1).count():
+        against = now.join(chunks, "cluster").select(
+            "cluster", "id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("block").cast("int")
+        )
+        pairs = probes.unionByName(against).select(F.xxhash64("cluster", "chunk", "block").alias("grp"), "id").distinct()
+        now = joined(now, _confirmed(pairs, texts, p))
+    small = stars.join(large.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b")
+    return written(small.unionAll(now.where("component != id").select(F.col("component").alias("a"), F.col("id").alias("b"))))
