@@ -168,7 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "efd_reconstruct": lambda s, d: rounded(fourier.reconstruct(_efd(s, d), fourier.vertex_mean(tables.outlines(s, d)))),
     "projection_series": lambda s, d: rounded(fourier.projection_series(fourier.efd_normalized(_efd(s, d)))),
     "circular_arc_metrics": lambda s, d: rounded(sessions.circular_arc_metrics(_triples(s, d)), 4),
-    "parabola_metrics": lambda s, d: rounded(sessions.parabola_metrics(_triples(s, d)), 4),
+    "parabola_metrics": lambda s, d: rounded(sessions.parabola_metrics(_triples(s, d)), 5),
     "triangle_metrics": lambda s, d: rounded(sessions.triangle_metrics(_triples(s, d)), 4),
     "shape_metrics": lambda s, d: rounded(sessions.shape_metrics(_pairs(s, d), _kinds()), 4),
     "line_metrics": lambda s, d: rounded(sessions.line_metrics(_pairs(s, d)), 4),

@@ -1,3 +1,266 @@
-"""DuckDB SQL over the given tables for queries of the catalog."""
+"""DuckDB SQL over the given tables for queries of the catalog, written apart from the operators."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from shapelake.sources import tables as t
+
+
+def _rounded(sql: str, columns: str, digits: int) -> str:
+    """Rounds the named columns of a statement and keeps the others."""
+    names = columns.split()
+    each = ", ".join(f"round({c}, {digits}) + 0.0 {c}" for c in names)
+    return f"select * exclude ({', '.join(names)}), {each} from ({sql})"
+
+
+def even(x: str, d: int) -> str:
+    """Half to even on the scaled value."""
+    return f"(round_even(({x}) * 1e{d}, 0) / 1e{d})"
+
+
+def ratio(a: str, b: str, d: int) -> str:
+    return f"(case when ({b}) > 1e-5 then {even(f'({a}) / ({b})', d)} else 0 end)"
+
+
+O = f"o as ({t.OUTLINES})"
+NEXT = f"""{O}, v as (select *,
+  coalesce(lead(x) over w, first_value(x) over w) nx, coalesce(lead(y) over w, first_value(y) over w) ny,
+  coalesce(lag(x) over w, last_value(x) over (w rows between unbounded preceding and unbounded following)) px,
+  coalesce(lag(y) over w, last_value(y) over (w rows between unbounded preceding and unbounded following)) py
+  from o window w as (partition by outline_id order by seq))"""
+LEN = "sqrt((nx-x)*(nx-x) + (ny-y)*(ny-y))"
+TURN = f"""(case when {LEN} < 1e-10 or sqrt((x-px)*(x-px) + (y-py)*(y-py)) < 1e-10 then 0
+  else atan2((x-px)*(ny-y) - (y-py)*(nx-x), (x-px)*(nx-x) + (y-py)*(ny-y)) * 180 / pi() end)"""
+
+PERIMETER_AREA = f"""with {NEXT} select outline_id, count(*) n, sum({LEN}) perimeter, sum(x*ny - y*nx) / 2 signed_area,
+  abs(sum(x*ny - y*nx) / 2) area from v group by 1"""
+
+SHAPE = f"""with {NEXT}, a as (select *, {TURN} turn from v), m as (
+  select outline_id, count(*) n, sum({LEN}) perimeter, abs(sum(x*ny - y*nx) / 2) area, min(x) min_x, min(y) min_y, max(x) max_x,
+    max(y) max_y, {even("sum(abs(turn))", 4)} sum_turning, {even("var_pop(abs(turn))", 4)} var_turning from a group by 1)
+select *, {even("sum_turning / n", 4)} mean_turning, {ratio("max_x - min_x", "max_y - min_y", 2)} aspect_ratio,
+  {ratio("perimeter", "area", 4)} perimeter_area_ratio,
+  case when perimeter > 1e-5 then {even("4 * pi() * area / (perimeter * perimeter)", 4)} else 0 end circularity from m"""
+
+EFD = f"""{NEXT}, s as (select *, {LEN} step, sum({LEN}) over (partition by outline_id order by seq) upto,
+    sum({LEN}) over (partition by outline_id) total from v), h as (
+  select outline_id, harmonic, total, (nx-x)/step ux, (ny-y)/step uy, 2*pi()*harmonic/total*upto a1, 2*pi()*harmonic/total*(upto-step) a0
+  from s cross join (select unnest(range(1, 11)) harmonic) where step >= 1e-10), efd as (
+  select outline_id, harmonic, any_value(total) / (2*harmonic*harmonic*pi()*pi()) k,
+    sum(ux*(cos(a1)-cos(a0))) a, sum(ux*(sin(a1)-sin(a0))) b, sum(uy*(cos(a1)-cos(a0))) c, sum(uy*(sin(a1)-sin(a0))) d
+  from h group by 1, 2), raw as (select outline_id, harmonic, k*a a, k*b b, k*c c, k*d d from efd)"""
+NORM = f"""{EFD}, f as (select outline_id, a a1, b b1, c c1, d d1, 0.5*atan2(2*(a*b+c*d), a*a-b*b+c*c-d*d) th from raw where harmonic = 1),
+  g as (select *, a1*cos(th)+b1*sin(th) sa, c1*cos(th)+d1*sin(th) sc from f),
+  p as (select outline_id, th, atan2(sc, sa) ps, sqrt(sa*sa+sc*sc) z from g),
+  r as (select outline_id, harmonic, ps, z, a*cos(harmonic*th)+b*sin(harmonic*th) a, b*cos(harmonic*th)-a*sin(harmonic*th) b,
+    c*cos(harmonic*th)+d*sin(harmonic*th) c, d*cos(harmonic*th)-c*sin(harmonic*th) d from raw join p using (outline_id)),
+  norm as (select outline_id, harmonic, (a*cos(ps)+c*sin(ps))/z a, (b*cos(ps)+d*sin(ps))/z b, (c*cos(ps)-a*sin(ps))/z c,
+    (d*cos(ps)-b*sin(ps))/z d from r)"""
+SERIES = """select outline_id, sample, sum(a*cos(harmonic*2*pi()*sample/200)+b*sin(harmonic*2*pi()*sample/200)) x,
+  sum(c*cos(harmonic*2*pi()*sample/200)+d*sin(harmonic*2*pi()*sample/200)) y
+  from {efd} cross join (select unnest(range(201)) sample) group by 1, 2"""
+
+
+def _ops(size: int) -> str:
+    at = ", ".join(f"max(case when s = {k} then {c} end) {c}{k + 1}" for k in range(size) for c in "xy")
+    return f"""c as ({t.CLICKS}), k as (select *, (click_seq-1)//{size} op_seq, (click_seq-1)%{size} s from c),
+  ops as (select session_id, op_seq, {at} from k group by 1, 2 having count(*) = {size})"""
+
+
+_D = lambda i, j: f"sqrt((x{i}-x{j})*(x{i}-x{j}) + (y{i}-y{j})*(y{i}-y{j}))"
+_A = lambda p, q, r: even(
+    f"abs(atan2((x{q}-x{p})*(y{r}-y{p}) - (y{q}-y{p})*(x{r}-x{p}), (x{q}-x{p})*(x{r}-x{p}) + (y{q}-y{p})*(y{r}-y{p}))) * 180 / pi()", 2
+)
+TRIANGLE = f"""with {_ops(3)}, m as (select *, abs((x2-x1)*(y3-y1) - (y2-y1)*(x3-x1)) tw, greatest({_D(1, 2)}, {_D(2, 3)}, {_D(3, 1)}) longest from ops),
+  a as (select session_id, op_seq, tw < 1e-4 is_degenerate, case when tw >= 1e-4 then {_A(1, 2, 3)} end angle_a,
+    case when tw >= 1e-4 then {_A(2, 1, 3)} end angle_b, case when tw >= 1e-4 then {_A(3, 1, 2)} end angle_c,
+    case when tw >= 1e-4 then tw / 2 end area, longest from m)
+select session_id, op_seq, is_degenerate, angle_a, angle_b, angle_c, area,
+  case when prev > 1e-5 then {even("area / prev", 2)} end relative_area,
+  case when area is not null then {ratio("longest", "case when area > 1e-5 then area * 2 / longest else 0 end", 2)} end aspect_ratio
+from (select *, last_value(area ignore nulls) over (partition by session_id order by op_seq rows between unbounded preceding and 1 preceding) prev from a)"""
+SHAPES = f"""with {_ops(2)}, m as (select *, ['square', 'circle', 'rectangle', 'ellipse'][op_seq % 4 + 1] kind, abs(x2-x1) w, abs(y2-y1) h from ops),
+  a as (select session_id, op_seq, kind, case when kind in ('square', 'circle') then greatest(w, h) else w end width,
+    case when kind in ('square', 'circle') then greatest(w, h) else h end height from m),
+  b as (select *, case when kind in ('circle', 'ellipse') then pi() * (width/2) * (height/2) else width * height end area from a)
+select session_id, op_seq, kind, width, height, area, {ratio("width", "height", 2)} aspect_ratio,
+  case when prev > 1e-5 then {even("area / prev", 2)} end relative_area
+from (select *, lag(area) over (partition by session_id order by op_seq) prev from b)"""
+LINES = f"""with {_ops(2)}, m as (select session_id, op_seq, {_D(1, 2)} length, atan2(y2-y1, x2-x1) * 180 / pi() g from ops)
+select session_id, op_seq, length, case when g < 0 then g + 360 else g end angle,
+  case when prev > 1e-5 then {even("length / prev", 2)} end relative_length
+from (select *, last_value(case when length > 1e-5 then length end ignore nulls)
+  over (partition by session_id order by op_seq rows between unbounded preceding and 1 preceding) prev from m)"""
+# The bisector's point lies at the signed distance e from the chord of length l: radius and angle follow from l and e.
+ARCS = f"""with {_ops(3)}, m as (select *, {_D(1, 2)} l, abs(((x2-x1)*(y3-(y1+y2)/2) - (y2-y1)*(x3-(x1+x2)/2)) / {_D(1, 2)}) e from ops),
+  r as (select session_id, op_seq, l, e, l * e / (l*l/4 + e*e) det, (l*l/4 + e*e) / (2*e) radius, 720 / pi() * 2 * atan2(2*e, l) / 2 ang from m),
+  q as (select *, {even("ang", 2)} central from r)
+select session_id, op_seq, coalesce(not det > 1e-5, true) is_flat, case when det > 1e-5 then central end central_angle,
+  case when det > 1e-5 then radius end radius, case when det > 1e-5 then {ratio("l", "e", 2)} end chord_rise_ratio,
+  case when det > 1e-5 then {ratio("l", "radius * central * pi() / 180", 2)} end chord_arc_ratio from q"""
+# Half the signed height over the chord gives the parabola a (x - 0.5)^2 - a/4 with a = -4 v.
+PARABOLAS = f"""with {_ops(3)}, m as (select *, {_D(1, 2)} l from ops),
+  q as (select *, case when l >= 1e-8 then -4 * ((x2-x1)*(y3-(y1+y2)/2) - (y2-y1)*(x3-(x1+x2)/2)) / (l*l) else 0 end a from m),
+  z as (select session_id, op_seq, sum(sqrt(1/4096.0 + pow(a*((i+1)/64.0*((i+1)/64.0-1) - i/64.0*(i/64.0-1)), 2))) * any_value(l) arc
+    from q cross join (select unnest(range(64)) i) where l >= 1e-8 group by 1, 2)
+select session_id, op_seq, a, {ratio("abs(a) / 4 * l", "l", 3)} rise_span_ratio, {even("abs(2*a)", 5)} vertex_curvature,
+  coalesce({ratio("l", "arc", 2)}, 0) chord_arc_ratio from q left join z using (session_id, op_seq)"""
+
+P = f"p as ({t.PIXELS.replace('{grid}', t.DUCK_GRID)})"
+DIST = """sqrt(2*({a}r-{b}r)*({a}r-{b}r) + 4*({a}g-{b}g)*({a}g-{b}g) + 3*({a}b-{b}b)*({a}b-{b}b))"""
+_CH = lambda c: (
+    f"cast(trunc(greatest(0, least(1, ((l + ({c}/255.0e0 - l) * 1.3e0 - 0.1e0) - 0.5e0) * 1.2e0 + 0.5e0)) * 255) as bigint) {c}"
+)
+ADJUST = f"""with {P} select image_id, x::bigint x, y::bigint y, {_CH("r")}, {_CH("g")}, {_CH("b")}
+  from (select *, 0.299e0*r/255.0e0 + 0.587e0*g/255.0e0 + 0.114e0*b/255.0e0 l from p)"""
+DOWNSAMPLE = f"""with {P}, d as (select unnest(range(17)) dx), e as (select unnest(range(17)) dy)
+select image_id, dx x, dy y, r::bigint r, g::bigint g, b::bigint b from d cross join e join p on p.x = floor(dx/17.0e0*32) and p.y = floor(dy/17.0e0*32)"""
+CORNERS = f"""corner as (select image_id, (case when x >= 27 then 1 else 0 end) + (case when y >= 27 then 2 else 0 end) corner, avg(r) r, avg(g) g, avg(b) b
+  from p where (x between 1 and 4 or x between 27 and 30) and (y between 1 and 4 or y between 27 and 30) group by 1, 2)"""
+THRESHOLD = f"""with {P}, {CORNERS}, m as (select image_id, avg(r) mr, avg(g) mg, avg(b) mb from corner group by 1)
+select image_id, greatest(35, least(60, 35 + 0.8e0 * max(sqrt(2*(r-mr)*(r-mr) + 4*(g-mg)*(g-mg) + 3*(b-mb)*(b-mb))))) threshold
+from corner join m using (image_id) group by 1"""
+SOBEL = f"""with {P}, q as (select image_id, x, y, 2*r+4*g+3*b v from p), k as (
+  select p.image_id, p.x, p.y, sum(q.v * (q.x-p.x) * (2 - abs(q.y-p.y))) gx, sum(q.v * (q.y-p.y) * (2 - abs(q.x-p.x))) gy, count(*) n
+  from q p join q on q.image_id = p.image_id and abs(q.x-p.x) <= 1 and abs(q.y-p.y) <= 1 group by 1, 2, 3)
+select image_id, x::bigint x, y::bigint y, cast(case when n = 9 then gx*gx + gy*gy else 0 end as bigint) gradient from k"""
+_BLUR = lambda src: f"""select p.image_id, p.x, p.y, case when count(*) = 9 then sum(q.r)//9 else 0 end r,
+  case when count(*) = 9 then sum(q.g)//9 else 0 end g, case when count(*) = 9 then sum(q.b)//9 else 0 end b
+  from {src} p join {src} q on q.image_id = p.image_id and abs(q.x-p.x) <= 1 and abs(q.y-p.y) <= 1 group by 1, 2, 3"""
+BLUR = f"""with {P}, b1 as ({_BLUR("p")}), b2 as ({_BLUR("b1")})
+select image_id, x::bigint x, y::bigint y, r::bigint r, g::bigint g, b::bigint b from b2"""
+M = f"{P}, m as (select image_id, x, y, ({t.MASK}) inside from p)"
+XY = "image_id, x::bigint x, y::bigint y"
+# The distance by comparison with every pixel outside; erosion and dilation by the same comparison.
+_D1 = lambda src, of: f"select a.image_id, a.x, a.y, a.inside, min(abs(a.x-z.x) + abs(a.y-z.y)) d from {src} a join {src} z on z.image_id = a.image_id and {of} group by 1, 2, 3, 4"
+DISTANCE = f"with {M}, k as ({_D1('m', 'not z.inside')}) select {XY}, 32::bigint w, 32::bigint h, inside, d::bigint d from k"
+ERODE = f"with {M} select {XY} from m a where inside and not exists (select 1 from m z where z.image_id = a.image_id and not z.inside and abs(a.x-z.x) + abs(a.y-z.y) <= 1)"
+DILATE = f"with {M} select distinct a.image_id, a.x::bigint x, a.y::bigint y from m a join m z on z.image_id = a.image_id and z.inside and abs(a.x-z.x) + abs(a.y-z.y) <= 2"
+_THIN = "exists (select 1 from k z where z.image_id = a.image_id and z.inside and z.d < 2 and abs(a.x-z.x) + abs(a.y-z.y) = 1)"
+CORRIDOR = f"with {M}, k as ({_D1('m', 'not z.inside')}) select {XY} from k a where inside and not {_THIN}"
+BOUNDS = f"""with {P} select image_id, greatest(0, min(x)-2)::bigint x0, greatest(0, min(y)-2)::bigint y0, least(31, max(x)+2)::bigint x1,
+  least(31, max(y)+2)::bigint y1 from p where {t.BLOB} group by 1"""
+_NEAR = "s.image_id = r.image_id and abs(s.x-r.x) + abs(s.y-r.y) = 1"
+# Every component is spread from each pixel without one to its left or above; the least of those names it.
+COMPONENTS = f"""with recursive {M}, s as (select image_id, x, y from m where inside),
+  c as (select * from s where not exists (select 1 from s r where r.image_id = s.image_id and (r.x = s.x-1 and r.y = s.y or r.x = s.x and r.y = s.y-1))),
+  r(image_id, x, y, root) as (select image_id, x, y, y*32+x from c union select s.image_id, s.x, s.y, r.root from r join s on {_NEAR}),
+  q as (select image_id, x, y, min(root) root from r group by 1, 2, 3),
+  n as (select image_id, root//32 cy, root%32 cx, count(*) n from q group by 1, 2, 3)"""
+HOLES = f"""with recursive {M}, s as (select image_id, x, y from m where not inside),
+  r(image_id, x, y) as (select * from s where x in (0, 31) or y in (0, 31) union select s.image_id, s.x, s.y from r join s on {_NEAR})
+select image_id, 1024 - count(*) area from r group by 1"""
+# Of one region without holes, every side between inside and outside is one step of the loop.
+TRACE = f"""with {P}, m as (select image_id, x, y from p where {t.BLOB})
+select m.image_id, sum(4 - (select count(*) from m z where z.image_id = m.image_id and abs(z.x-m.x) + abs(z.y-m.y) = 1))::bigint n,
+  sum(4 - (select count(*) from m z where z.image_id = m.image_id and abs(z.x-m.x) + abs(z.y-m.y) = 1))::double perimeter, count(*)::double area from m group by 1"""
+# A pair of points is a hull side if no point lies to its right, and none beyond it on its line.
+HULL = f"""{O}, pt as (select distinct outline_id, x, y from o), sd as (
+  select a.outline_id, a.x, a.y, b.x bx, b.y by_ from pt a join pt b on a.outline_id = b.outline_id and (a.x, a.y) <> (b.x, b.y)
+  where not exists (select 1 from pt c where c.outline_id = a.outline_id and ((b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) < 0
+    or (b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) = 0 and pow(c.x-a.x, 2) + pow(c.y-a.y, 2) > pow(b.x-a.x, 2) + pow(b.y-a.y, 2)))),
+  lo as (select outline_id, min((y, x)) p from sd group by 1)"""
+HULL_POINTS = f"""with {HULL} select outline_id, row_number() over (partition by outline_id order by (y, x) <> p, atan2(y - p[1], x - p[2])) - 1 seq, x, y from sd join lo using (outline_id)"""
+SOLIDITY = f"""with {HULL}, ar as (select outline_id, sum(x*by_ - y*bx) / 2 hull_area from sd group by 1), pa as ({PERIMETER_AREA.replace("with ", "with ", 1)})
+select outline_id, hull_area, {ratio("area", "hull_area", 4)} solidity from pa join ar using (outline_id)"""
+SEED = f"""with {P} select image_id, 16::bigint x, 16::bigint y, (sum(r)//count(*))::bigint sr, (sum(g)//count(*))::bigint sg, (sum(b)//count(*))::bigint sb
+from p where abs(x-16) <= 2 and abs(y-16) <= 2 group by 1"""
+NAMES = f"""with s as ({t.SPECIMENS}) select image_id, coalesce(nullif(trim(name), ''), 'Specimen ' || row_number() over (order by seq, image_id)) specimen_name from s"""
+RASTER = f"""with {NEXT}, e as (select outline_id, row, x + (row + 0.5 - y) / (ny - y) * (nx - x) a
+  from (select *, unnest(range(ceil(least(y, ny) - 0.5)::bigint, ceil(greatest(y, ny) - 0.5)::bigint)) row from v where y <> ny)),
+  k as (select *, lead(a) over (partition by outline_id, row order by a) b, row_number() over (partition by outline_id, row order by a) i from e)
+select distinct outline_id image_id, unnest(range(ceil(a - 0.5)::bigint, floor(b - 0.5)::bigint + 1)) x, row y from k where i % 2 = 1 and b is not null"""
+CROSS = f"""with {NEXT}, e as (select *, row_number() over (partition by outline_id order by seq) k, count(*) over (partition by outline_id) m from v),
+  h as (select distinct a.outline_id from e a join e b on a.outline_id = b.outline_id and b.k > a.k + 1 and not (a.k = 1 and b.k = b.m)
+    where ((a.nx-a.x)*(b.y-a.y) - (a.ny-a.y)*(b.x-a.x)) * ((a.nx-a.x)*(b.ny-a.y) - (a.ny-a.y)*(b.nx-a.x)) < 0
+      and ((b.nx-b.x)*(a.y-b.y) - (b.ny-b.y)*(a.x-b.x)) * ((b.nx-b.x)*(a.ny-b.y) - (b.ny-b.y)*(a.nx-b.x)) < 0)
+select distinct outline_id, outline_id in (select outline_id from h) intersects from o"""
+RESAMPLE = f"""{NEXT}, s as (select *, {LEN} step, sum({LEN}) over (partition by outline_id order by seq) - {LEN} begun,
+    sum({LEN}) over (partition by outline_id) total, row_number() over (partition by outline_id order by seq) k from v),
+  i as (select distinct outline_id, total, greatest(3, round_even(total/4, 0))::bigint c from s),
+  j as (select outline_id, c, unnest(range(c)) i, total from i),
+  rs as (select j.outline_id, j.i seq, j.c, max_by(s.x + (case when step > 0 then (j.i*j.total/j.c - s.begun)/step else 0 end) * (nx-s.x), s.k) x,
+    max_by(s.y + (case when step > 0 then (j.i*j.total/j.c - s.begun)/step else 0 end) * (ny-s.y), s.k) y
+  from j join s on s.outline_id = j.outline_id and (s.begun < j.i*j.total/j.c or s.k = 1) group by 1, 2, 3)"""
+# Five passes in a row, as they are defined.
+SMOOTH = f"{RESAMPLE}" + "".join(
+    f", w{i} as (select outline_id, seq, (coalesce(lag(x) over w, last_value(x) over (w rows between unbounded preceding and unbounded following)) + 2*x + coalesce(lead(x) over w, first_value(x) over w)) / 4 x,"
+    f" (coalesce(lag(y) over w, last_value(y) over (w rows between unbounded preceding and unbounded following)) + 2*y + coalesce(lead(y) over w, first_value(y) over w)) / 4 y"
+    f" from {'rs' if i == 1 else f'w{i - 1}'} window w as (partition by outline_id order by seq))"
+    for i in range(1, 6)
+)
+_LAND = """with o as (select vec_id outline_id, generate_subscripts(embedding, 1) - 1 seq, unnest(embedding)::double r from embeddings),
+  k as (select outline_id, seq, (2+r)*cos(2*pi()*seq/64) x, (2+r)*sin(2*pi()*seq/64) y from o),
+  v as (select *, coalesce(lead(x) over w, first_value(x) over w) nx, coalesce(lead(y) over w, first_value(y) over w) ny from k
+    window w as (partition by outline_id order by seq))"""
+L = f"l as ({t.POLYLINES})"
+ARC = f"with {L} select line_id, coalesce(sum(d), 0) arc_length from (select line_id, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) d from l window w as (partition by line_id order by seq)) group by 1"
+_B = lambda p, q, a, b: f"({p} * (({b} - s) / ({b} - {a})) + {q} * ((s - {a}) / ({b} - {a})))"
+
+
+def _catmull(c: str) -> str:
+    a1 = f"(case when t1 > 0 then {_B(f'{c}0', f'{c}1', '0', 't1')} else {c}1 end)"
+    a2 = _B(f"{c}1", f"{c}2", "t1", "t2")
+    a3 = f"(case when t3 > t2 then {_B(f'{c}2', f'{c}3', 't2', 't3')} else {c}2 end)"
+    b1, b2 = _B(a1, a2, "0", "t2"), _B(a2, a3, "t1", "t3")
+    return _B(b1, b2, "t1", "t2")
+
+
+CATMULL = f"""with {L}, n as (select *, row_number() over w - 1 k, count(*) over (partition by line_id) m, coalesce(lag(x) over w, x) x0, coalesce(lag(y) over w, y) y0,
+    x x1, y y1, lead(x) over w x2, lead(y) over w y2, coalesce(lead(x, 2) over w, lead(x) over w) x3, coalesce(lead(y, 2) over w, lead(y) over w) y3
+    from l window w as (partition by line_id order by seq)),
+  u as (select *, sqrt({_D(0, 1)}) t1, sqrt({_D(0, 1)}) + sqrt({_D(1, 2)}) t2, sqrt({_D(0, 1)}) + sqrt({_D(1, 2)}) + sqrt({_D(2, 3)}) t3 from n where m >= 3),
+  j as (select *, t1 + i/50.0e0*(t2-t1) s from (select *, unnest(range(50)) i from u where x2 is not null)),
+  dn as (select line_id, k*50+i i, {_catmull("x")} x, {_catmull("y")} y from j union all select line_id, k*50, x, y from u where x2 is null),
+  w as (select *, lag(x) over w px, lag(y) over w py, lead(x) over w nx, lead(y) over w ny from dn window w as (partition by line_id order by i)),
+  z as (select *, sqrt((x-px)*(x-px)+(y-py)*(y-py)) l1, sqrt((nx-x)*(nx-x)+(ny-y)*(ny-y)) l2,
+    abs(atan2((x-px)*(ny-y)-(y-py)*(nx-x), (x-px)*(nx-x)+(y-py)*(ny-y)))*180/pi() g from w),
+  y as (select line_id, sum(l1) arc, sum(case when px is not null and nx is not null then (case when l1 < 1e-10 or l2 < 1e-10 then 0 else g end) end) s,
+    avg(case when px is not null and nx is not null then (case when l1 < 1e-10 or l2 < 1e-10 then 0 else g end) end) mean,
+    var_pop(case when px is not null and nx is not null then (case when l1 < 1e-10 or l2 < 1e-10 then 0 else g end) end) var,
+    sum(case when px is not null and nx is not null and l1 >= 1e-5 and l2 >= 1e-5 then g else 0 end) tl from z group by 1),
+  e as (select line_id, count(*) points, sqrt(pow(max_by(x, seq) - min_by(x, seq), 2) + pow(max_by(y, seq) - min_by(y, seq), 2)) chord from l group by 1)
+select line_id, points, {ratio("tl", "arc", 2)} turning_per_length, {ratio("arc", "chord", 2)} arc_chord_ratio, {even("s", 4)} sum_turning,
+  {even("mean", 4)} mean_turning, {even("var", 4)} var_turning from y join e using (line_id)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "outline_perimeter_area": _rounded(PERIMETER_AREA, "perimeter signed_area area", 6),
+    "outline_shape_metrics": _rounded(SHAPE, "perimeter area min_x min_y max_x max_y sum_turning var_turning mean_turning aspect_ratio perimeter_area_ratio circularity", 4),
+    "turning_angles": _rounded(f"with {NEXT} select outline_id, seq, {TURN} angle from v", "angle", 6),
+    "self_intersects": CROSS,
+    "resample": _rounded(f"with {RESAMPLE} select outline_id, seq, x, y from rs", "x y", 6),
+    "packed_outlines": _rounded(f"with {O} select outline_id, seq, x, y from o", "x y", 6),
+    "landmark_metrics": _rounded(f"{_LAND} select outline_id, count(*) n, sum({LEN}) perimeter, sum(x*ny - y*nx) / 2 signed_area, abs(sum(x*ny - y*nx) / 2) area from v group by 1", "perimeter signed_area area", 6),
+    "efd_raw": _rounded(f"with {EFD} select * from raw", "a b c d", 6),
+    "efd_normalized": _rounded(f"with {NORM} select * from norm", "a b c d", 6),
+    "projection_series": _rounded(f"with {NORM} {SERIES.format(efd='norm')}", "x y", 6),
+    "efd_reconstruct": _rounded(f"with {EFD}, q as ({SERIES.format(efd='raw')}), z as (select outline_id, avg(x) mx, avg(y) my from o group by 1) select outline_id, sample, x+mx x, y+my y from q join z using (outline_id)", "x y", 6),
+    "circular_arc_metrics": _rounded(ARCS, "central_angle radius chord_rise_ratio chord_arc_ratio", 4),
+    "parabola_metrics": _rounded(PARABOLAS, "a rise_span_ratio vertex_curvature chord_arc_ratio", 5),
+    "triangle_metrics": _rounded(TRIANGLE, "angle_a angle_b angle_c area relative_area aspect_ratio", 4),
+    "shape_metrics": _rounded(SHAPES, "width height area aspect_ratio relative_area", 4),
+    "line_metrics": _rounded(LINES, "length angle relative_length", 4),
+    "catmull_rom_metrics": _rounded(CATMULL, "turning_per_length arc_chord_ratio sum_turning mean_turning var_turning", 4),
+    "arc_length": _rounded(ARC, "arc_length", 6),
+    "adjust_pixels": ADJUST,
+    "downsample": DOWNSAMPLE,
+    "corner_colors": _rounded(f"with {P}, {CORNERS} select image_id, corner::bigint corner, r, g, b from corner", "r g b", 6),
+    "adaptive_threshold": _rounded(THRESHOLD, "threshold", 6),
+    "box_blur": BLUR,
+    "sobel": SOBEL,
+    "distance_transform": DISTANCE,
+    "erode": ERODE,
+    "dilate": DILATE,
+    "corridor": CORRIDOR,
+    "mask_bounds": BOUNDS,
+    "strip_border": f"with {M} select {XY} from m where inside and x between 5 and 26 and y between 5 and 26",
+    "rasterize": RASTER,
+    "specimen_names": NAMES,
+    "components": f"{COMPONENTS} select image_id, cy::bigint cy, cx::bigint cx, n from n",
+    "largest_component": f"{COMPONENTS} select image_id, max(n) area from n group by 1",
+    "fill_holes": HOLES,
+    "trace_boundary": TRACE,
+    "convex_hull": _rounded(HULL_POINTS, "x y", 6),
+    "solidity": _rounded(SOLIDITY, "hull_area solidity", 4),
+    "smooth_outline": _rounded(f"with {SMOOTH} select outline_id, seq, x, y from w5", "x y", 6),
+    "seed_color": SEED,
+}
