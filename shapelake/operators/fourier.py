@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from shapelake.functions import geometry as g
 from shapelake.operators.outline_metrics import with_neighbours
 
-_BY = Window.partitionBy("outline_id").orderBy("seq")
+
+def _by():
+    return Window.partitionBy("outline_id").orderBy("seq")
 
 
 def harmonic_clamp(h) -> Column:
@@ -22,7 +24,7 @@ def efd_raw(outlines: DataFrame, harmonics: int = 10) -> DataFrame:
     harmonics = max(1, min(100, harmonics))
     df = with_neighbours(outlines).withColumn("step", g.distance("x", "y", "nx", "ny"))
     df = df.withColumns({
-        "to": F.sum("step").over(_BY.rowsBetween(Window.unboundedPreceding, 0)),
+        "to": F.sum("step").over(_by().rowsBetween(Window.unboundedPreceding, 0)),
         "total": F.sum("step").over(Window.partitionBy("outline_id")),
     })
     df = df.withColumn("harmonic", F.explode(F.sequence(F.lit(1), F.lit(harmonics))))

@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from shapelake.functions import geometry as g
 
-_BY = Window.partitionBy("outline_id").orderBy("seq")
-_ALL = Window.partitionBy("outline_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _by():
+    return Window.partitionBy("outline_id").orderBy("seq")
+
+
+def _all():
+    return Window.partitionBy("outline_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def following(c: str) -> Column:
     """The next vertex's value, the first's for the last."""
-    return F.coalesce(F.lead(c).over(_BY), F.first(c).over(_ALL))
+    return F.coalesce(F.lead(c).over(_by()), F.first(c).over(_all()))
 
 
 def preceding(c: str) -> Column:
-    return F.coalesce(F.lag(c).over(_BY), F.last(c).over(_ALL))
+    return F.coalesce(F.lag(c).over(_by()), F.last(c).over(_all()))
 
 
 def with_neighbours(outlines: DataFrame) -> DataFrame:
@@ -28,8 +33,8 @@ def with_neighbours(outlines: DataFrame) -> DataFrame:
 def without_closure(outlines: DataFrame) -> DataFrame:
     """Drops a last vertex that repeats the first (squared gap below 1)."""
     last = F.row_number().over(Window.partitionBy("outline_id").orderBy(F.desc("seq"))) == 1
-    gap = (F.col("x") - F.first("x").over(_ALL)) ** 2 + (F.col("y") - F.first("y").over(_ALL)) ** 2
-    first = F.row_number().over(_BY) == 1
+    gap = (F.col("x") - F.first("x").over(_all())) ** 2 + (F.col("y") - F.first("y").over(_all())) ** 2
+    first = F.row_number().over(_by()) == 1
     df = outlines.withColumns({"_drop": last & ~first & (gap < 1.0)})
     return df.where("not _drop").drop("_drop")
 
@@ -94,7 +99,7 @@ def self_intersections(outlines: DataFrame, bins: int = 16) -> DataFrame:
     Edges meet only in the cells of a coarse grid over their outline, so that
     an outline's pairs stay near the number of its edges.
     """
-    df = with_neighbours(outlines).withColumn("k", F.row_number().over(_BY) - 1)
+    df = with_neighbours(outlines).withColumn("k", F.row_number().over(_by()) - 1)
     size = Window.partitionBy("outline_id")
     df = df.withColumns({
         "n": F.count("*").over(size), "x0": F.min("x").over(size), "y0": F.min("y").over(size),
@@ -121,8 +126,8 @@ def resample(outlines: DataFrame, spacing: float = 4.0) -> DataFrame:
     df = with_neighbours(without_closure(outlines))
     df = df.withColumn("step", g.distance("x", "y", "nx", "ny"))
     df = df.withColumns({
-        "at": F.sum("step").over(_BY.rowsBetween(Window.unboundedPreceding, 0)) - F.col("step"),
-        "total": F.sum("step").over(Window.partitionBy("outline_id")), "k": F.row_number().over(_BY),
+        "at": F.sum("step").over(_by().rowsBetween(Window.unboundedPreceding, 0)) - F.col("step"),
+        "total": F.sum("step").over(Window.partitionBy("outline_id")), "k": F.row_number().over(_by()),
         "m": F.count("*").over(Window.partitionBy("outline_id")),
     })
     df = df.withColumn("count", F.greatest(F.lit(3), F.rint(F.col("total") / spacing).cast("int")))

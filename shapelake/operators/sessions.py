@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 
 from shapelake.functions import geometry as g
 
-_ORDER = Window.partitionBy("session_id").orderBy("click_seq")
-_OPS = Window.partitionBy("session_id").orderBy("op_seq")
-_BEFORE = _OPS.rowsBetween(Window.unboundedPreceding, -1)
+
+def _order():
+    return Window.partitionBy("session_id").orderBy("click_seq")
+
+
+def _ops():
+    return Window.partitionBy("session_id").orderBy("op_seq")
+
+
+def _before():
+    return _ops().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def assemble(clicks: DataFrame, size: int) -> DataFrame:
     """Every ``size`` clicks of a session form one operation: session_id, op_seq, x1, y1, x2, ...; a rest is left out."""
-    n = F.row_number().over(_ORDER) - 1
+    n = F.row_number().over(_order()) - 1
     df = clicks.select("session_id", "x", "y", F.floor(n / size).alias("op_seq"), (n % size + 1).alias("step"))
     at = lambda c, k: F.max(F.when(F.col("step") == k, F.col(c))).alias(f"{c}{k}")
     ops = df.groupBy("session_id", "op_seq").agg(F.count("*").alias("_n"), *[at(c, k) for k in range(1, size + 1) for c in ("x", "y")])
@@ -25,7 +33,7 @@ def assemble(clicks: DataFrame, size: int) -> DataFrame:
 def assemble_splines(clicks: DataFrame, is_double: Column, least: int = 3) -> DataFrame:
     """Points up to a double click are one spline: session_id, op_seq, seq, x, y; shorter ones are dropped, as is an open end."""
     df = clicks.withColumn("_d", F.when(is_double, 1).otherwise(0))
-    df = df.withColumn("op_seq", F.coalesce(F.sum("_d").over(_ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    df = df.withColumn("op_seq", F.coalesce(F.sum("_d").over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     every = Window.partitionBy("session_id", "op_seq")
     points = df.withColumns({"_closed": F.max("_d").over(every), "_n": F.sum(1 - F.col("_d")).over(every)})
     points = points.where((F.col("_d") == 0) & (F.col("_closed") == 1) & (F.col("_n") >= least))
@@ -35,7 +43,7 @@ def assemble_splines(clicks: DataFrame, is_double: Column, least: int = 3) -> Da
 
 def previous_area(area: str = "area") -> Column:
     """The last area of the session before this one that is not null."""
-    return F.last(area, ignorenulls=True).over(_BEFORE)
+    return F.last(area, ignorenulls=True).over(_before())
 
 
 def relative_area(df: DataFrame, area: str = "area") -> DataFrame:
@@ -45,7 +53,7 @@ def relative_area(df: DataFrame, area: str = "area") -> DataFrame:
 def relative_length(df: DataFrame, length: str = "length") -> DataFrame:
     """Length against the latest earlier one above the least size."""
     usable = F.when(F.col(length) > g.EPS, F.col(length))
-    return df.withColumn("relative_length", g.relative(length, F.last(usable, ignorenulls=True).over(_BEFORE)))
+    return df.withColumn("relative_length", g.relative(length, F.last(usable, ignorenulls=True).over(_before())))
 
 
 def circular_arc_metrics(triples: DataFrame) -> DataFrame:
@@ -154,7 +162,7 @@ def shape_metrics(pairs: DataFrame, kind: Column) -> DataFrame:
     even, round_ = F.col("kind").isin("square", "circle"), F.col("kind").isin("circle", "ellipse")
     df = df.withColumns({"width": F.when(even, F.greatest(w, h)).otherwise(w), "height": F.when(even, F.greatest(w, h)).otherwise(h)})
     df = df.withColumn("area", F.when(round_, g.ellipse_area("width", "height")).otherwise(F.col("width") * F.col("height")))
-    df = df.withColumn("relative_area", g.relative("area", F.lag("area").over(_OPS)))
+    df = df.withColumn("relative_area", g.relative("area", F.lag("area").over(_ops())))
     aspect = g.guarded_ratio("width", "height", 2)
     return df.select("session_id", "op_seq", "kind", "width", "height", "area", aspect.alias("aspect_ratio"), "relative_area")
 
@@ -165,21 +173,21 @@ def line_metrics(pairs: DataFrame) -> DataFrame:
     return relative_length(df).select("session_id", "op_seq", "length", "angle", "relative_length")
 
 
-def constrain_lines(pairs: DataFrame, mode: Column, locked: Column = F.lit(0.0)) -> DataFrame:
+def constrain_lines(pairs: DataFrame, mode: Column, locked: Column | float = 0.0) -> DataFrame:
     """Ends of lines under a mode: none, parallel, perpendicular or angle.
 
     The first line of a run of one constrained mode is free and gives the
     reference direction, if it is longer than 1e-3.
     """
     df = pairs.withColumn("mode", mode)
-    change = F.when(F.lag("mode").over(_OPS).eqNullSafe(F.col("mode")), 0).otherwise(1)
-    df = df.withColumn("_c", change).withColumn("run", F.sum("_c").over(_OPS))
+    change = F.when(F.lag("mode").over(_ops()).eqNullSafe(F.col("mode")), 0).otherwise(1)
+    df = df.withColumn("_c", change).withColumn("run", F.sum("_c").over(_ops()))
     n = g.distance("x1", "y1", "x2", "y2")
     usable = (F.col("mode") != "none") & (n > 1e-3)
     way = F.when(usable, F.struct(((F.col("x2") - F.col("x1")) / n).alias("x"), ((F.col("y2") - F.col("y1")) / n).alias("y")))
     inside = Window.partitionBy("session_id", "run").orderBy("op_seq").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_way", way).withColumn("ref", F.first("_way", ignorenulls=True).over(inside))
-    turn = F.radians(locked)
+    turn = F.radians(g.col(locked))
     dx = F.when(F.col("mode") == "parallel", F.col("ref.x")).when(F.col("mode") == "perpendicular", -F.col("ref.y"))
     dx = dx.otherwise(F.col("ref.x") * F.cos(turn) - F.col("ref.y") * F.sin(turn))
     dy = F.when(F.col("mode") == "parallel", F.col("ref.y")).when(F.col("mode") == "perpendicular", F.col("ref.x"))

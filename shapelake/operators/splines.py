@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from shapelake.functions import geometry as g
 from shapelake.plans.rounds import until_stable, written
 
-_BY = Window.partitionBy("line_id").orderBy("seq")
-_ALL = Window.partitionBy("line_id")
+
+def _by():
+    return Window.partitionBy("line_id").orderBy("seq")
+
+
+def _all():
+    return Window.partitionBy("line_id")
 
 
 def arc_length(lines: DataFrame) -> DataFrame:
-    step = g.distance(F.lag("x").over(_BY), F.lag("y").over(_BY), "x", "y")
+    step = g.distance(F.lag("x").over(_by()), F.lag("y").over(_by()), "x", "y")
     return lines.withColumn("d", step).groupBy("line_id").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("arc_length"))
 
 
@@ -23,13 +28,13 @@ def catmull_rom(lines: DataFrame, samples: int = 50) -> DataFrame:
     Ends are duplicated. Where a knot interval of a neighbour is zero its
     point stands in, as it does for a segment between equal points.
     """
-    df = lines.withColumn("k", F.row_number().over(_BY) - 1)
+    df = lines.withColumn("k", F.row_number().over(_by()) - 1)
     at = {}
     for c in "xy":
-        at[f"{c}0"] = F.coalesce(F.lag(c).over(_BY), F.col(c))
+        at[f"{c}0"] = F.coalesce(F.lag(c).over(_by()), F.col(c))
         at[f"{c}1"] = F.col(c)
-        at[f"{c}2"] = F.lead(c).over(_BY)
-        at[f"{c}3"] = F.coalesce(F.lead(c, 2).over(_BY), F.lead(c).over(_BY))
+        at[f"{c}2"] = F.lead(c).over(_by())
+        at[f"{c}3"] = F.coalesce(F.lead(c, 2).over(_by()), F.lead(c).over(_by()))
     df = df.withColumns(at)
     knot = lambda i, j: F.sqrt(g.distance(f"x{i}", f"y{i}", f"x{j}", f"y{j}"))
     df = df.withColumns({"t1": knot(0, 1), "d12": knot(1, 2), "d23": knot(2, 3)})
@@ -115,8 +120,8 @@ def fit_bezier(lines: DataFrame, tolerance: float = 2.0) -> DataFrame:
     A segment whose largest error exceeds the tolerance is split there; all
     segments of a round are fitted by one aggregation.
     """
-    n = F.count("*").over(_ALL)
-    points = written(lines.withColumns({"k": F.row_number().over(_BY) - 1, "n": n}).where("n >= 2").select("line_id", "k", "x", "y", "n"))
+    n = F.count("*").over(_all())
+    points = written(lines.withColumns({"k": F.row_number().over(_by()) - 1, "n": n}).where("n >= 2").select("line_id", "k", "x", "y", "n"))
     open_ = written(points.where("k = 0").select("line_id", F.lit(0).alias("a"), (F.col("n") - 1).cast("int").alias("b")))
     done = None
     while open_.limit(1).count():
@@ -200,7 +205,7 @@ def _cubic(c: str, t: Column) -> Column:
 def sample_bezier(segments: DataFrame, samples: int = 50) -> DataFrame:
     """``samples`` points a segment in order, and the last end: line_id, i, x, y."""
     order = Window.partitionBy("line_id").orderBy("a")
-    df = segments.withColumns({"s": F.row_number().over(order) - 1, "of": F.count("*").over(_ALL)})
+    df = segments.withColumns({"s": F.row_number().over(order) - 1, "of": F.count("*").over(_all())})
     steps = F.when(F.col("s") == F.col("of") - 1, F.lit(samples)).otherwise(F.lit(samples - 1))
     df = df.withColumn("j", F.explode(F.sequence(F.lit(0), steps)))
     t = F.col("j") / samples
