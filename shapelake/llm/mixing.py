@@ -21,12 +21,13 @@ import heapq
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from shapelake.plans.rounds import written
 
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def word_count(texts: pd.Series) -> pd.Series:
     """Number of words `[^\\x20\\x09-\\x0D]+`; bytes.split() parts at just these characters."""
     return pd.Series([0 if t is None else len(t.encode().split()) for t in texts], dtype="int64")
