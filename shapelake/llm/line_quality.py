@@ -4,7 +4,8 @@ Everything is a DataFrame expression over one row at a time: there is no
 shuffle, so a hot source or a very long text costs what its length costs.
 
 Defined results: a null text counts as empty; an empty text has no words and
-is not kept; nulls in other columns and extra columns pass through untouched;
+is not kept; nulls in other columns and extra columns pass through untouched, but
+a column named as one that is added here is replaced by it;
 repeated rows are judged independently; an empty table gives an empty table.
 """
 

@@ -7,7 +7,8 @@ Defined results: a null url, or one without ``://``, has an empty host and
 path, no rule, and the trees' verdict on its features (all zero); repeated
 rows are judged alike; where the labelled urls lack one of the two classes no
 trees are fitted and every url takes the class that is there, or ``allow``;
-an empty table gives an empty result; extra columns pass through.
+an empty table gives an empty result; extra columns pass through, and those
+named as a column that is added here are replaced by it.
 """
 
 from __future__ import annotations
