@@ -1,8 +1,8 @@
 """Secret scans: three fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 Two first-order character models, one of each kind, are trained from labelled
-strings of the corpus: what the fixed patterns find is random, other long
-tokens are ordinary. A token is a secret if its log-likelihood ratio is high in
+strings of the corpus: what the fixed patterns find is random, long tokens
+made of words are ordinary; others are left out, since secrets are among them. A token is a secret if its log-likelihood ratio is high in
 all and for each character. Scanning is a pass over the rows with no shuffle.
 
 Defined results: a null or empty text has no spans; a text of any length is
@@ -29,6 +29,8 @@ ASSIGN = re.compile(
 #: Runs that are maximal by nature: asking for the least length finds what dropping short matches would leave.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: What is surely an ordinary identifier: words joined by separators, with a number at the end at most.
+ORDINARY = re.compile(r"[A-Za-z]+(?:[_=/+-][A-Za-z]+)*(?:[_-]?[0-9]{1,4})?")
 KEYWORD_PARTS = ("passw", "secret", "token", "api")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 INDEX = {c: i for i, c in enumerate(ALPHABET)}
@@ -63,24 +65,30 @@ def tokens(text: str, least: int) -> Iterator[tuple[int, int]]:
 
 
 def labelled_strings(text: str, least: int) -> Iterator[tuple[str, int]]:
-    """Strings with 1 where a fixed pattern finds them, and other long tokens with 0."""
+    """Strings with 1 where a fixed pattern finds them, and other long tokens with 0 if they are surely ordinary."""
     spans = base_spans(text)
     for start, kind, end in spans:
         yield (ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]), 1
     for start, end in tokens(text, least):
-        if not any(s < end and start < e for s, _, e in spans):
+        if ORDINARY.fullmatch(text, start, end) and not any(s < end and start < e for s, _, e in spans):
             yield text[start:end], 0
 
 
 class MarkovPair:
-    """Log-likelihood ratio of two smoothed first-order models; holds one number for each pair of characters."""
+    """Log-likelihood ratio of two first-order models; holds one number for each pair of characters.
 
-    def __init__(self, counts: dict[tuple[int, int, int], int], smoothing: float = 0.5):
+    A character that hardly ever follows another is as likely as it is by
+    itself: ``backoff`` counts how often such a guess is worth.
+    """
+
+    def __init__(self, counts: dict[tuple[int, int, int], int], backoff: float = 5.0):
         n = len(ALPHABET)
-        table = np.full((2, n + 1, n), smoothing)  # row n: the first character
+        table = np.zeros((2, n + 1, n))  # row n: the first character
         for (kind, a, b), c in counts.items():
             table[kind, a, b] += c
-        logs = np.log(table / table.sum(axis=2, keepdims=True))
+        alone = table.sum(axis=1) + 0.5
+        alone = alone / alone.sum(axis=1, keepdims=True)
+        logs = np.log((table + backoff * alone[:, None, :]) / (table.sum(axis=2, keepdims=True) + backoff))
         self.ratio = (logs[1] - logs[0]).tolist()
 
     def score(self, s: str) -> float:
@@ -104,8 +112,8 @@ def train(
     sample = docs.where(F.expr(f"pmod(xxhash64(`{id_column}`), {every}) = 0")) if every > 1 else docs
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
         for frame in frames:
+            found: Counter = Counter()
             for text in frame[text_column]:
                 for s, kind in labelled_strings(text or "", least):
                     at = len(ALPHABET)
@@ -113,7 +121,7 @@ def train(
                         if (i := INDEX.get(c)) is not None:
                             found[kind, at, i] += 1
                             at = i
-        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "a", "b", "n"])
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "a", "b", "n"])
 
     counts = sample.select(text_column).mapInPandas(count, "kind int, a int, b int, n long")
     rows = counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()

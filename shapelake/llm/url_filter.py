@@ -115,8 +115,10 @@ def judge(
     """
     df = lexical_features(urls, url)
     df = df.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    verdict = F.create_map(*[F.lit(x) for r in rules for x in (r.text, r.verdict)])
-    df = df.withColumn("_decided", verdict[F.col("rule")])
+    verdict = F.lit(None).cast("string")
+    for r in rules:
+        verdict = F.when(F.col("rule") == r.text, r.verdict).otherwise(verdict)
+    df = df.withColumn("_decided", verdict)
     if labels is None:
         known = df.where("_decided is not null").withColumn("label", (F.col("_decided") == "block").cast("double"))
     else:
