@@ -231,8 +231,8 @@ def test_fuzzy_lines_against_all_pairs(spark, odd, empty):
 
 def test_crowded_buckets_lose_no_link(spark):
     p = fuzzy_lines.LineParameters()
-    base = prose(5, 60, 10**6)
-    rows = [(i, base + f" z{i}", "a") for i in range(60)]
+    base = prose(5, 12, 10**6)
+    rows = [(i, base + f" z{i % 10}", "a") for i in range(20)] + [(100 + i, base + f" {i}q", "a") for i in range(20)]
     got = fuzzy_lines.removed_lines(table(spark, rows), p).collect()
     want, _ = _removed(rows, p)
     assert {x.doc_id: list(x.removed) for x in got} == want
