@@ -34,10 +34,10 @@ from shapelake.plans.rounds import written
 
 @dataclass(frozen=True)
 class SearchParameters:
-    projections: int = 256
+    projections: int = 64
     half_width: float = 1.0  # of a window, for radius 1
     deviations: float = 2.0  # by which the threshold lies below the mean count of a vector at the radius
-    first_radius: float = 0.4
+    first_radius: float = 0.8
     ratio: float = 1.25
     block: int = 8192
     query_block: int = 2048
