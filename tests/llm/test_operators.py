@@ -114,6 +114,39 @@ def test_chunks_of_a_text_do_not_depend_on_its_neighbours():
     assert all(len(x) <= p.most for x in itertools.chain(*pieces)) and all(x.decode() for x in pieces[1])
 
 
+def test_planted_passages_of_51_words_are_found_whole(spark):
+    prose_like = lambda r, n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.choice((2, 3, 4, 5, 6, 7, 9)))) for _ in range(n))
+    r, rows, passages = random.Random(8), [], []
+    for i in range(0, 400, 2):
+        passages.append(prose_like(r, 51))
+        rows += [(i + k, f"{prose_like(r, 40)} {passages[-1]} {prose_like(r, 40)}", "a") for k in (0, 1)]
+    text, got = {i: t for i, t, _ in rows}, collections.defaultdict(set)
+    removable = collections.Counter()
+    for x in substrings.repeated_spans(table(spark, rows)).collect():
+        got[x.doc_id] |= set(range(x.start, x.end))
+        removable[x.doc_id] += x.removable
+    held = missed = outside = 0
+    for i, t in text.items():
+        # Brute force: what of the passage and its surroundings is the same in both documents.
+        other, at = text[i ^ 1], t.index(passages[i // 2])
+        there, to = other.index(passages[i // 2]), at + len(passages[i // 2])
+        while at and there and t[at - 1] == other[there - 1]:
+            at, there = at - 1, there - 1
+        while t[to : to + 1] and t[to] == other[there + to - at : there + to - at + 1]:
+            to += 1
+        held, missed, outside = held + to - at, missed + len(set(range(at, to)) - got[i]), outside + len(got[i] - set(range(at, to)))
+        assert removable[i] == (len(got[i]) if i % 2 else 0)
+    assert all(got[i] for i in text)
+    assert missed < 0.15 * held and outside == 0
+
+
+def test_runs_of_short_chunks_and_of_text_ends():
+    text, start, end = np.array([0, 0, 0, 0, 1, 1, 2]), np.array([0, 5, 12, 30, 36, 56, 61]), np.array([5, 12, 30, 36, 56, 61, 70])
+    found = sorted(zip(*map(np.ndarray.tolist, substrings.runs(text, start, end, 16))))
+    assert found == [(0, 0, 30), (0, 5, 30), (0, 12, 30), (0, 12, 36), (1, 36, 56), (1, 36, 61)]
+    assert [len(x) for x in substrings.runs(text[:0], start[:0], end[:0], 16)] == [0, 0, 0]
+
+
 # Secrets
 
 
