@@ -25,6 +25,11 @@ def _with_text(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """The documents with a key of each row, written so that it stays the same: ids can be null or repeated."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the line-first rules reject; the others go on with their clean text."""
     judged = clean_lines(docs.select(*COLUMNS)).withColumn("_task", F.spark_partition_id())
@@ -42,15 +47,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, on 5-word shingles."""
-    found = near_duplicates(docs, JoinParameters()).where("not kept").select("doc_id").distinct()
-    # Rows that share an id are copies: one of them stays.
-    return docs.join(found, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    docs = _with_row(docs)
+    alone = docs.where("doc_id is null")  # each of these stands alone and stays
+    named = docs.where("doc_id is not null")
+    found = near_duplicates(named, JoinParameters(), id_column="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    # Of each group the row with the smallest doc_id stays; rows that share an id but not the text are two documents.
+    own = named.select("_row", F.struct("doc_id", F.xxhash64("text").alias("h"), "_row").alias("own"))
+    stay = found.join(own, "_row").groupBy("component_id").agg(F.min("own").alias("own")).select("own._row")
+    return named.join(stay, "_row", "left_semi").select(*COLUMNS).unionAll(alone.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mix_documents(docs).select("doc_id", F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0).alias("uses"))
-    uses = docs.join(taken.where("uses > 0"), "doc_id")
+    docs = _with_row(docs)
+    taken = mix_documents(docs, order=("doc_id", "text"), carry=("_row",))
+    taken = taken.select("_row", F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0).alias("uses"))
+    uses = docs.join(taken.where("uses > 0"), "_row")
     return uses.withColumn("use", F.explode(F.sequence(F.lit(1), "uses"))).select(*COLUMNS)
 
 

@@ -114,18 +114,22 @@ def mix(
     bucket_rows: int = 2000,
     max_patterns: int = 10_000,
     id_column: str = "doc_id",
+    order: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Adds to each document (id, and what ``memberships`` and ``size`` need) its size and ``taken`` words.
 
     ``quotas`` maps the list of (sources of a pattern, size of the pattern) to
     {source: words}. ``taken`` is a multiple of the size, at most ``max_uses``
     times. A pattern's taken words differ from its flow by at most half the smallest
-    document that its last bucket has left.
+    document that its last bucket has left. Documents are ordered by a hash of
+    their ids, or of the columns ``order``; long columns ``carry`` go through.
     """
     spark = docs.sparkSession
     base = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), memberships.alias("pattern"), size.alias("size")
-    ).withColumn("u", F.xxhash64(F.lit(seed), "doc_id"))
+        F.col(id_column).cast("long").alias("doc_id"), memberships.alias("pattern"), size.alias("size"),
+        F.xxhash64(F.lit(seed), *(order or (F.col(id_column).cast("long"),))).alias("u"), *carry,
+    )
     base = written(base)
     total = base.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     rows = total.limit(max_patterns + 1).collect()
@@ -157,7 +161,7 @@ def mix(
     placed = placed.join(F.broadcast(cut), "key", "left")
     whole = placed.where("cut is null or bucket != cut").withColumn("more", (F.col("bucket") < F.col("cut")).cast("long"))
     # The cut bucket, of about bucket_rows documents: each is taken, in hash order, if it fits in what is left.
-    columns = ["doc_id", "pattern", "size", "uses", "more"]
+    columns = ["doc_id", "pattern", "size", "uses", "more", *carry]
 
     def fill(bucket: pd.DataFrame) -> pd.DataFrame:
         bucket = bucket.sort_values(["u", "doc_id", "size"], kind="stable", na_position="last")
@@ -171,12 +175,12 @@ def mix(
             more[min(rest)[1]] = 1
         return bucket.assign(more=more)[columns]
 
-    schema = "doc_id long, pattern array<string>, size long, uses long, more long"
-    last = placed.where("bucket = cut").select("key", "doc_id", "pattern", "size", "uses", "u", "left")
+    schema = "doc_id long, pattern array<string>, size long, uses long, more long" + "".join(f", {c} long" for c in carry)
+    last = placed.where("bucket = cut").select("key", "doc_id", "pattern", "size", "uses", "u", "left", *carry)
     last = last.groupBy("key").applyInPandas(fill, schema)
     out = whole.select(*columns).unionByName(last)
     return out.select(
-        "doc_id", "pattern", "size", ((F.col("uses") + F.coalesce("more", F.lit(0))) * F.col("size")).alias("taken")
+        "doc_id", "pattern", "size", ((F.col("uses") + F.coalesce("more", F.lit(0))) * F.col("size")).alias("taken"), *carry
     )
 
 

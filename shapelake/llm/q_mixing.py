@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from shapelake.llm.mixing import mix, weighted_quotas, word_count
 
 
-def mix_documents(docs: DataFrame, found: dict | None = None) -> DataFrame:
-    """doc_id, pattern, size and taken; ``found`` receives the patterns that the quotas were made for."""
+def mix_documents(docs: DataFrame, found: dict | None = None, **options) -> DataFrame:
+    """doc_id, pattern, size and taken; ``found`` receives the patterns that the quotas were made for, ``mix`` the options."""
     quotas = weighted_quotas()
 
     def seen(patterns):
@@ -17,7 +17,7 @@ def mix_documents(docs: DataFrame, found: dict | None = None) -> DataFrame:
             found["patterns"] = patterns
         return quotas(patterns)
 
-    return mix(docs, seen, F.array("source"), word_count("text"))
+    return mix(docs, seen, F.array("source"), word_count("text"), **options)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Registered queries against their oracles and the pipeline from end to end, on the smallest tables."""
 
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -48,6 +49,22 @@ def test_stages_keep_what_they_should(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
 
 
+def test_stages_on_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{chr(97 + i)}word{k * (i + 3)}" for k in range(60)) for i in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[4]), (7, texts[5]), (7, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()))
+    got = corpus_pipeline.near_dedup(spark, docs, str(DATA))
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = sorted([(0, texts[0]), (0, texts[1]), (0, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[5])])
+    assert key(got) == want
+    got = corpus_pipeline.mixing(spark, docs, str(DATA))
+    uses = Counter(key(got))
+    held = Counter((i or 0, t) for i, t in rows)
+    assert set(uses) == set(held) and all(n <= uses[x] <= 2 * n for x, n in held.items())
+    assert abs(sum(uses.values()) - 1.5 * len(rows)) <= 0.5  # documents are of one size
+
+
 def test_pipeline_on_odd_rows(spark):
     rows = [(1, None, None, None, None, 0), (2, "", None, "a", 0, 0), (None, "x y z", "en", None, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, uses int")
