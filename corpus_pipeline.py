@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapelake.llm.chosen_path import JoinParameters, near_duplicates
-from shapelake.llm.fuzzy_lines import without_fuzzy_lines
+from shapelake.llm.fuzzy_lines import LineParameters, without_fuzzy_lines
 from shapelake.llm.line_quality import WORD, clean_lines
 from shapelake.llm.q_mixing import mix_documents
 from shapelake.llm.q_packing import pack_documents
@@ -41,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; a document that loses all its words this way goes."""
-    left = without_fuzzy_lines(docs.select(*COLUMNS))
+    left = without_fuzzy_lines(docs.select(*COLUMNS), LineParameters(fold=True))
     return _with_text(left.where(F.col("removed").isNull() | F.col("text").rlike(WORD)))
 
 

@@ -13,7 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from shapelake.llm import chosen_path, collision_counting, fuzzy_lines, line_quality, mixing, packing, preference, secrets, substrings, url_filter
+import corpus_pipeline
+from shapelake.llm import chosen_path, collision_counting, fuzzy_lines, line_quality, mixing, packing, preference, q_lines, secrets, substrings, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -262,6 +263,25 @@ def test_fuzzy_lines_against_all_pairs(spark, odd, empty):
     assert fuzzy_lines.removed_lines(empty, p).count() == 0
 
 
+def test_lines_that_differ_in_numbers_and_punctuation_are_equal(spark):
+    forms = ["Page 3 of the long annual report", "page 17 of the  long annual report!", "-- Page 4, of\tthe long annual report.\r", "PAGE of_the (long) annual report 2020"]
+    tabs = ["alpha\tbravo\tcharlie\tdelta\techo\tfoxtrot", "alpha bravo charlie delta echo foxtrot"]
+    fold = lambda x: re.sub(r"[\s\d!-/:-@\[-`{-~]+", " ", x.lower(), flags=re.ASCII).strip(" ")
+    assert len({fold(x) for x in forms}) == len({fold(x) for x in tabs}) == 1
+    rows = [(i, f"{x}\n1 2 3 4 5 6\nown line number {i}", "a") for i, x in enumerate(forms + tabs)]
+    p = fuzzy_lines.LineParameters(fold=True)
+    assert {x.doc_id: list(x.removed) for x in fuzzy_lines.removed_lines(table(spark, rows), p).collect()} == {i: [0] for i in (1, 2, 3, 5)}
+
+
+def test_query_and_stage_fold_lines(spark, tmp_path):
+    lines = ["Page 3 of the long annual report", "page 17 of the  long annual report!"]
+    docs = table(spark, [(i, x, "a") for i, x in enumerate(lines)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed_lines for r in q_lines.op5_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert got == {0: "", 1: "0"}
+    assert [r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()] == [0]
+
+
 def test_crowded_buckets_lose_no_link(spark):
     p = fuzzy_lines.LineParameters()
     base = prose(5, 12, 10**6)
