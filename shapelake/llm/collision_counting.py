@@ -1,7 +1,10 @@
 """Approximate nearest neighbours by collision counting on single projections.
 
 Every block of vectors keeps one sorted array for each of many random
-projections. A query's window in each array is centred on its own projection;
+projections. Projections are the directions of random rotations: what they
+measure of a difference adds up to its length, so that counts of vectors at one
+distance vary by little more than half as much as under independent directions,
+and few far ones reach the threshold. A query's window in each array is centred on its own projection;
 virtual rehashing widens all windows together, and only what a widening adds
 is counted. A vector that falls into enough windows is verified by its exact
 cosine. Windows widen until the k-th best verified distance lies within the
@@ -9,8 +12,9 @@ radius they stand for.
 
 Vectors are unit length for the index, so that distance follows cosine. Equal
 vectors are one entry: of their ids only the smallest few can be among the
-nearest, and only those are carried. Queries and vectors meet block by block;
-a block of either has a bounded size, and no block is kept anywhere else.
+nearest, and only those are carried. Queries and vectors meet block by block:
+blocks are as large as a task's memory takes, so that each vector is sent to
+few query blocks and each sorted array serves tens of thousands of queries.
 
 Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components take no part, nor do null ids; vectors of different
@@ -35,26 +39,41 @@ from shapelake.plans.rounds import written
 @dataclass(frozen=True)
 class SearchParameters:
     projections: int = 64
-    half_width: float = 1.0  # of a window, for radius 1
-    deviations: float = 2.0  # by which the threshold lies below the mean count of a vector at the radius
+    half_width: float = 1.3  # of a window, for radius 1
+    deviations: float = 1.3  # by which the threshold lies below the mean count of a vector at the radius
     first_radius: float = 0.8
     ratio: float = 1.25
-    block: int = 8192
-    query_block: int = 2048
+    block: int = 65_536  # vectors that are in one task at most
+    tasks: int = 24  # smaller blocks, down to a tenth, where there would be fewer pairs of blocks
+    query_block: int = 16_384
     seed: int = 5
 
     @property
     def threshold(self) -> float:
         p = math.erf(self.half_width / math.sqrt(2))
-        return self.projections * p - self.deviations * math.sqrt(self.projections * p * (1 - p))
+        # What the sum of squares explains of an indicator's variance is fixed under a rotation.
+        slope = self.half_width * math.sqrt(2 / math.pi) * math.exp(-self.half_width**2 / 2)
+        return self.projections * p - self.deviations * math.sqrt(self.projections * (p * (1 - p) - slope**2 / 2))
+
+    def directions(self, dim: int) -> np.ndarray:
+        """One column a projection: columns of random rotations, as many as are needed, scaled to the length of normal vectors."""
+        rng, parts = np.random.default_rng(self.seed), []
+        for _ in range(-(-self.projections // dim)):
+            parts.append(np.linalg.qr(rng.standard_normal((dim, dim)))[0])
+        return np.concatenate(parts, axis=1)[:, : self.projections] * math.sqrt(dim)
+
+    def block_counts(self, vectors: int, queries: int) -> tuple[int, int]:
+        query_blocks = max(1, -(-queries // self.query_block))
+        least = max(1, -(-vectors // self.block))
+        return max(least, min(-(-self.tasks // query_blocks), max(1, vectors * 10 // self.block))), query_blocks
 
 
 class Block:
     """Sorted projections of a block of unit vectors."""
 
     def __init__(self, unit: np.ndarray, p: SearchParameters):
-        self.p, self.unit = p, unit
-        self.lines = np.random.default_rng(p.seed).standard_normal((unit.shape[1], p.projections))
+        self.p, self.unit, self.verified = p, unit, 0
+        self.lines = p.directions(unit.shape[1])
         values = (unit @ self.lines).T
         order = np.argsort(values, axis=1, kind="stable")
         self.order, self.values = order.astype(np.int32), np.take_along_axis(values, order, axis=1)
@@ -86,6 +105,7 @@ class Block:
                 radius = min(kth, radius * self.p.ratio) if kth > radius else kth
             else:
                 radius *= self.p.ratio
+        self.verified += have
         best = np.partition(scores, n - k)[n - k]
         return np.flatnonzero(scores >= best - 1e-9)
 
@@ -113,7 +133,7 @@ def nearest_neighbours(
     reps = base.select("vec_id", "v", *same).join(classes.withColumnRenamed("rep", "vec_id"), ["vec_id", *same])
     reps = written(reps.dropDuplicates(["vec_id", *same]).select("vec_id", "v", "dim", "asked"))
     n, asked = reps.agg(F.count("*"), F.coalesce(F.sum("asked"), F.lit(0))).first()
-    blocks, query_blocks = max(1, -(-n // p.block)), max(1, -(-asked // p.query_block))
+    blocks, query_blocks = p.block_counts(n, asked)
     spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     place = lambda parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)).cast("int")
     left = reps.select("dim", place(blocks, 0).alias("block"), spread(query_blocks).alias("qblock"), "vec_id", "v")
