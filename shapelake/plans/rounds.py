@@ -7,18 +7,21 @@ round at most and the plan of a round never contains the rounds before it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (local tests)."""
+    """The folder that driver and executors share; a temporary one where the session names none and is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shapelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -32,21 +35,31 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the files of a table that ``written`` returned and that nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().startswith("round-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def until_stable(
-    state: DataFrame,
-    step: Callable[[DataFrame], DataFrame],
-    measure: Callable[[DataFrame], object],
-    max_rounds: int = 200,
+    state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], object]
 ) -> DataFrame:
-    """Applies ``step`` until ``measure`` (a small aggregate) stops changing."""
-    before = measure(state)
-    for _ in range(max_rounds):
+    """Applies ``step`` until ``measure`` (a small aggregate) stops changing; a round's table goes when the next is there.
+
+    There is no limit on the rounds: a step has to make progress that ends.
+    """
+    before, last = measure(state), None
+    while True:
         state = written(step(state))
+        if last is not None:
+            discard(last)
         now = measure(state)
         if now == before:
             return state
-        before = now
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+        before, last = now, state
 
 
 def _star_measure(stars: DataFrame) -> tuple:
@@ -54,30 +67,30 @@ def _star_measure(stars: DataFrame) -> tuple:
     return tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Labels every node that has an edge with the smallest node of its component.
 
     Alternates large-star and small-star: each points nodes at the smallest
     neighbour known, which takes a number of rounds that grows with the
-    logarithm of the longest path. A round shuffles twice, by the node whose
-    neighbours it compares. Edges may be repeated, reversed or loops; null
-    ends are ignored. Returns (node, component).
+    logarithm of the longest path. Smallest neighbours are aggregates, combined
+    before they are shuffled, and reach the edges by joins, whose large
+    partitions are split: a node with very many edges holds up no task. Edges
+    may be repeated, reversed or loops; null ends are ignored. Returns (node,
+    component).
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     pairs = written(pairs.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct())
-    lowest = F.min("dst").over(Window.partitionBy("src"))
-
-    def by_node(e: DataFrame) -> DataFrame:
-        return e.repartition("src").distinct()  # one shuffle serves both, and the window after them
 
     def step(e: DataFrame) -> DataFrame:
-        both = e.select("src", "dst").unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = by_node(both).withColumn("m", F.least("src", lowest)).where("dst > src")
-        small = by_node(large.select(F.col("dst").alias("src"), F.col("m").alias("dst"))).withColumn("m", lowest)
-        # A node's lowest neighbour becomes its own, and that of its other neighbours.
-        return small.select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
-
-    stars = until_stable(pairs.where("src != dst"), step, _star_measure, max_rounds)
+        # Every edge points down. Large-star: what points at a node points at that node's lowest neighbour instead.
+        low = e.groupBy("src").agg(F.min("dst").alias("m")).withColumnRenamed("src", "dst")
+        large = e.join(low, "dst", "left").select("src", F.coalesce("m", "dst").alias("dst")).distinct()
+        # Small-star: a node's lowest neighbour becomes its own, and that of its other neighbours.
+        low = large.groupBy("src").agg(F.min("dst").alias("m"))
+        small = large.join(low, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
+        return small.distinct()
+
+    stars = until_stable(pairs.where("src != dst"), step, _star_measure)
     ends = F.explode(F.array(F.struct(F.col("src").alias("node"), "dst"), F.struct(F.col("dst").alias("node"), "dst")))
     nodes = stars.select(ends.alias("e")).select("e.node", "e.dst")
     nodes = nodes.unionAll(pairs.where("src = dst").select(F.col("src").alias("node"), "dst"))
