@@ -28,9 +28,9 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = spark.createDataFrame(
         [(s[0], n, float(exact[s[0]])) for s, n in patterns], "source string, source_size long, target double"
     )
-    # One row a source: as few as the patterns that mix() has counted and bounded.
+    sources = F.broadcast(sources) if len(patterns) <= 10_000 else sources
     out = out.withColumn("source", F.get("pattern", F.lit(0)))
-    joined = out.alias("o").join(F.broadcast(sources.alias("s")), F.expr("o.source <=> s.source"))
+    joined = out.alias("o").join(sources.alias("s"), F.expr("o.source <=> s.source"))
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
