@@ -7,8 +7,8 @@ Defined results: a null url, or one without ``://``, has an empty host and
 path, no rule, and the trees' verdict on its features (all zero); repeated
 rows are judged alike; where the labelled urls lack one of the two classes no
 trees are fitted and every url takes the class that is there, or ``allow``;
-an empty table gives an empty result; extra columns pass through, and those
-named as a column that is added here are replaced by it.
+an empty table gives an empty result; extra columns of any name pass through,
+but columns named host, path, rule, verdict or p_block give way to those added.
 """
 
 from __future__ import annotations
@@ -85,16 +85,33 @@ def lexical_features(urls: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def with_suffix_statistics(df: DataFrame, labelled: DataFrame, prior: float = 10.0) -> DataFrame:
-    """Adds the smoothed share of blocked urls and the number of labelled urls of each host suffix."""
-    every = labelled.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("every"))
-    known = labelled.groupBy("suffix").agg(F.sum("label").alias("s"), F.count("*").alias("n")).crossJoin(F.broadcast(every))
-    known = known.select(
-        "suffix", ((F.col("s") + prior * F.col("every")) / (F.col("n") + prior)).alias("f_suffix_block"),
-        F.log1p("n").alias("f_suffix_seen"),
-    )
+#: Labelled urls are dealt into so many folds by hash; a url's suffix statistics in training come from the other folds.
+FOLDS = 5
+
+
+def with_suffix_statistics(df: DataFrame, known: DataFrame, every: float, prior: float = 10.0, own: str | None = None) -> DataFrame:
+    """Adds the smoothed share of blocked urls and the number of labelled urls of each host suffix.
+
+    ``known`` holds suffix, fold, s (blocked weight) and n (weight); ``own``
+    names a column of ``df`` with the fold to leave out. ``every`` is the share
+    over all.
+    """
+    total = known.groupBy("suffix").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
     # Never more rows than the labelled sample, whose size is a parameter.
-    return df.join(F.broadcast(known), "suffix", "left").fillna({"f_suffix_block": 0.5, "f_suffix_seen": 0.0})
+    df = df.join(F.broadcast(total), "suffix", "left")
+    if own:
+        part = known.select("suffix", F.col("fold").alias(own), F.col("s").alias("_fs"), F.col("n").alias("_fn"))
+        df = df.join(F.broadcast(part), ["suffix", own], "left")
+        df = df.withColumns({"_s": F.col("_s") - F.coalesce("_fs", F.lit(0.0)), "_n": F.col("_n") - F.coalesce("_fn", F.lit(0.0))}).drop("_fs", "_fn")
+    s, n = F.coalesce("_s", F.lit(0.0)), F.coalesce("_n", F.lit(0.0))
+    return df.withColumns({"f_suffix_block": (s + prior * every) / (n + prior), "f_suffix_seen": F.log1p(n)}).drop("_s", "_n")
+
+
+def labelled_sample(labels: DataFrame, url: str, max_labelled: int, seed: int) -> DataFrame:
+    """At most ``max_labelled`` distinct labelled urls, those with the smallest hashes: url, label (the more frequent one; 1 at a tie) and weight."""
+    one = labels.where("label is not null").groupBy(F.col(url).alias("_url")).agg(F.avg("label").alias("share"), F.count("*").alias("weight"))
+    one = one.select("_url", (F.col("share") >= 0.5).cast("double").alias("label"), F.col("weight").cast("double").alias("weight"))
+    return one.orderBy(F.xxhash64(F.lit(seed), "_url"), "_url").limit(max_labelled)
 
 
 def judge(
@@ -110,40 +127,38 @@ def judge(
     """Adds host, path, rule, verdict (``allow`` or ``block``) and p_block.
 
     Trees are trained on ``labels`` (url, label 1 = block); without them, on
-    the urls that a rule decides. At most ``max_labelled`` labelled urls are
-    used, those with the smallest hashes.
+    the urls that a rule decides. At most ``max_labelled`` distinct labelled
+    urls are used, each weighing as much as it has rows.
     """
-    df = lexical_features(urls, url)
+    df = lexical_features(urls.select(F.struct("*").alias("_row"), F.col(url).alias("_url")), "_url")
     df = df.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.lit(None).cast("string")
     for r in rules:
         verdict = F.when(F.col("rule") == r.text, r.verdict).otherwise(verdict)
     df = df.withColumn("_decided", verdict)
     if labels is None:
-        known = df.where("_decided is not null").withColumn("label", (F.col("_decided") == "block").cast("double"))
+        known = df.where("_decided is not null").select(F.col("_url").alias(url), (F.col("_decided") == "block").cast("double").alias("label"))
     else:
-        known = lexical_features(labels.where("label is not null"), url).withColumn("label", F.col("label").cast("double"))
-    features = [c for c in FEATURES if not c.startswith("f_suffix")]
-    known = known.select(F.xxhash64(F.lit(seed), url).alias("_h"), "label", "suffix", *features)
-    known = known.orderBy("_h", *features).limit(max_labelled).drop("_h").persist()
+        known = labels.select(url, F.col("label").cast("double").alias("label"))
+    known = lexical_features(labelled_sample(known, url, max_labelled, seed), "_url")
+    known = known.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "_url"), F.lit(FOLDS))).drop("_url", "host", "path").persist()
     try:
-        classes = [r.label for r in known.groupBy("label").count().collect()]
+        classes = {r.label: r.weight for r in known.groupBy("label").agg(F.sum("weight").alias("weight")).collect()}
         if len(classes) == 2:
+            every = classes[1.0] / sum(classes.values())
+            # The statistics travel as a literal table of at most FOLDS * max_labelled suffixes.
+            counts = known.groupBy("suffix", "fold").agg(F.sum(F.col("label") * F.col("weight")).alias("s"), F.sum("weight").alias("n"))
+            counts = urls.sparkSession.createDataFrame(counts.collect(), "suffix string, fold long, s double, n double")
             into = VectorAssembler(inputCols=FEATURES, outputCol="_x")
-            trees = GBTClassifier(labelCol="label", featuresCol="_x", maxIter=max_iter, maxDepth=max_depth, seed=seed)
+            trees = GBTClassifier(labelCol="label", featuresCol="_x", weightCol="weight", maxIter=max_iter, maxDepth=max_depth, seed=seed)
             trees = trees.setPredictionCol("_prediction").setRawPredictionCol("_raw").setProbabilityCol("_p")
-            model = trees.fit(into.transform(with_suffix_statistics(known, known)))
-            # The statistics travel as a literal table of at most max_labelled suffixes.
-            statistics = known.select("suffix", "label").collect()
-            sample = urls.sparkSession.createDataFrame(statistics, "suffix string, label double")
-            df = model.transform(into.transform(with_suffix_statistics(df, sample)))
-            df = df.withColumn("p_block", vector_to_array("_p")[1]).drop("_x", "_raw", "_p", "_prediction")
+            model = trees.fit(into.transform(with_suffix_statistics(known, counts, every, own="fold")))
+            df = model.transform(into.transform(with_suffix_statistics(df, counts, every)))
+            df = df.withColumn("p_block", vector_to_array("_p")[1])
         else:
-            df = df.withColumn("p_block", F.lit(float(classes[0]) if classes else 0.0))
+            df = df.withColumn("p_block", F.lit(float(*classes) if classes else 0.0))
     finally:
         known.unpersist()
-    df = df.withColumn(
-        "verdict",
-        F.coalesce("_decided", F.when(F.col("p_block") > 0.5, "block").otherwise("allow")),
-    )
-    return df.drop("_decided", "suffix", *FEATURES)
+    df = df.withColumn("verdict", F.coalesce("_decided", F.when(F.col("p_block") > 0.5, "block").otherwise("allow")))
+    added = ["host", "path", "rule", "verdict", "p_block"]
+    return df.select(*[F.col("_row")[c].alias(c) for c in urls.columns if c not in added], *added)
