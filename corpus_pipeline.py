@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapelake.llm.chosen_path import JoinParameters, near_duplicates
-from shapelake.llm.fuzzy_lines import LineParameters, without_fuzzy_lines
+from shapelake.llm.fuzzy_lines import without_fuzzy_lines
 from shapelake.llm.line_quality import WORD, clean_lines
 from shapelake.llm.q_mixing import mix_documents
 from shapelake.llm.q_packing import pack_documents
@@ -22,6 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _with_text(docs: DataFrame) -> DataFrame:
+    """The columns of documents, with the length of the text as it is now."""
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -32,16 +33,14 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the line-first rules reject; the others go on with their clean text."""
-    judged = clean_lines(docs.select(*COLUMNS)).withColumn("_task", F.spark_partition_id())
-    # Through plain projections the filter would be pushed, and its expression written out once for every use of a
-    # use; a column that does not depend on the row alone holds it where it stands.
-    kept = judged.where("kept and _task >= 0")
-    return _with_text(kept.withColumn("text", F.col("clean_text")))
+    # Written, the judgement is made once; a filter on it would repeat its expressions.
+    judged = written(clean_lines(docs.select(*COLUMNS)).select("doc_id", "lang", "source", "clean_text", "kept"))
+    return _with_text(judged.where("kept").withColumnRenamed("clean_text", "text"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; a document that loses all its words this way goes."""
-    left = without_fuzzy_lines(docs.select(*COLUMNS), LineParameters(fold=True))
+    left = without_fuzzy_lines(docs.select(*COLUMNS))
     return _with_text(left.where(F.col("removed").isNull() | F.col("text").rlike(WORD)))
 
 
