@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shapelake.llm import chosen_path, collision_counting, fuzzy_lines, line_quality, mixing, packing, preference, q_lines, secrets, substrings, url_filter
+from shapelake.llm import chosen_path, collision_counting, fuzzy_lines, line_quality, mixing, packing, preference, q_lines, q_mixing, q_secrets, q_url, secrets, substrings, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -87,6 +88,19 @@ def test_neighbours_against_all(spark):
     assert collision_counting.nearest_neighbours(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_few_vectors_reach_the_threshold():
+    rng = np.random.default_rng(3)
+    unit = rng.standard_normal((4000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    index, hit = collision_counting.Block(unit, collision_counting.SearchParameters()), 0
+    for i in range(0, 4000, 100):
+        best = np.argsort(-(unit @ unit[i]))[:6]
+        hit += len(set(best) & set(index.nearest(unit[i], 6)))
+    assert hit >= 0.9 * 240 and index.verified < 0.15 * 40 * 4000
+    p = collision_counting.SearchParameters(block=1000, query_block=10)
+    assert p.block_counts(10**6, 100) == (1000, 10) and p.block_counts(50, 1)[0] == 1
+
+
 # Substrings
 
 
@@ -165,14 +179,73 @@ def test_markov_finds_random_strings(spark, odd, empty):
     hidden = key(40)
     rows.append((99, f"see {hidden} and configuration_value_2 here", "a"))
     docs = table(spark, rows)
-    model = secrets.train(docs)
-    got = {row.doc_id: row.spans for row in secrets.scan(docs, model).collect()}
+    scorer = secrets.train(docs)
+    got = {row.doc_id: row.spans for row in secrets.scan(docs, scorer).collect()}
     assert [(s.kind, rows[-1][1][s.start : s.end]) for s in got[99]] == [("markov", hidden)]
     assert all([s.kind for s in got[i]] == ["assign"] for i in range(40))
-    assert model.score(hidden) > 0 > model.score("configuration_value")
+    assert scorer.model.score(hidden) > 0 > scorer.model.score("configuration_value")
+    assert scorer.precision >= 0.99 and scorer.recall >= 0.95
+    ordinary = ("2024-11-28T10-22-33Z", "9807915762804490", "src/main/test/util", "getUserNameByIndex2", "version_12-04-2023", "REPORT_TABLE_COUNT_17")
+    assert not [x for x in ordinary if scorer.is_secret(x) is not None]
+    found = [scorer.is_secret(key(n)) is not None for n in (16, 20, 32) for _ in range(100)]
+    assert sum(found) >= 0.95 * len(found)
     scanned = secrets.scan(odd, secrets.train(odd)).collect()
     assert len(scanned) == 10 and not any(row.spans for row in scanned)
-    assert secrets.train(empty) is None and secrets.scan(empty, None).count() == 0
+    assert secrets.scan(empty, secrets.train(empty)).count() == 0
+    large = spark.createDataFrame([(2**53 + 1, f"x {hidden}", "s"), (None, None, "t")], "doc_id long, text string, spans string")
+    got = {row.doc_id: len(row.spans) for row in secrets.scan(large, scorer).collect()}
+    assert got == {2**53 + 1: 1, None: 0}
+
+
+def _base_by_hand(text):
+    """The fixed patterns read character by character."""
+    value, up, low = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    ascii_lower = text.translate({i: i + 32 for i in range(65, 91)})
+    run = lambda at, allowed: next((j for j in range(at, len(text)) if text[j] not in allowed), len(text))
+
+    def assign(at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if ascii_lower.startswith(word, at):
+                j = at + len(word)
+                j += text[j : j + 1] in ("'", '"') and j < len(text)
+                j = run(j, {" "})
+                if text[j : j + 1] not in (":", "=") or j == len(text):
+                    continue
+                first = j + 1
+                k = run(first, {" "})
+                k += text[k : k + 1] in ("'", '"') and k < len(text)
+                end = run(k, value)
+                if end > k:
+                    return end, k
+        return None
+
+    out, at = [], 0
+    while at < len(text):
+        found = assign(at)
+        if found and found[0] - found[1] >= 6:
+            out.append((at, 0, found[0]))
+        at = found[0] if found else at + 1
+    for kind, allowed, least, head in ((1, up, 20, "AKIA"), (2, low, 24, "")):
+        at = 0
+        while at < len(text):
+            if text.startswith(head, at) and (end := run(at + len(head), allowed)) > at + len(head):
+                if end - at >= least:
+                    out.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_base_spans_of_all_documents(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r.doc_id: r for r in q_secrets.op3_markov_secrets(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(docs) and any(r.n_assign for r in got.values())
+    for i, text in docs.items():
+        base = _base_by_hand(text or "")
+        joined = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
 
 
 # Preference pairs
@@ -196,14 +269,15 @@ def test_preference_edges(spark):
 # Fuzzy lines
 
 
-def _simhash(line):
-    ws = line.split(" ")
-    total, bits = sum(map(len, ws)), [0] * fuzzy_lines.BITS
-    for w in ws:
-        h = xxhash.xxh64(w.encode(), seed=42).intdigest()
-        for b in range(fuzzy_lines.BITS):
-            bits[b] += (h >> b & 1) * len(w)
-    return sum(1 << b for b, n in enumerate(bits) if 2 * n > total)
+def _line_words(line):
+    return re.findall(r"[a-z\x80-\U0010FFFF]+", line.lower())
+
+
+def _simhash(ws):
+    least = 4 if any(len(w) >= 4 for w in ws) else 1
+    ws = [w for w in ws if len(w) >= least]
+    hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in ws]
+    return sum(1 << b for b in range(fuzzy_lines.BITS) if 2 * sum(h >> b & 1 for h in hashes) > len(ws))
 
 
 def _edits(a, b):
@@ -217,26 +291,35 @@ def _edits(a, b):
 
 
 def _removed(rows, p):
+    """{(id, text): lines} and the number of links, from all pairs of lines."""
     held = collections.defaultdict(list)
-    for i, t in sorted({(i, t) for i, t, _ in rows if i is not None and t is not None}):
+    for i, t in {(i, t) for i, t, _ in rows if t is not None}:
         for at, line in enumerate(t.split("\n")):
-            n = line.strip(" ").lower()
-            if n.count(" ") + 1 >= p.min_words:
-                held[n].append((i, at))
+            ws = _line_words(line)
+            if len(ws) >= max(1, p.min_words):
+                held[tuple(ws)].append((i is None, i or 0, xxhash.xxh64(t.encode(), seed=42).intdigest() ^ 1 << 63, at, (i, t)))
     names = sorted(held)
     marks = {n: _simhash(n) for n in names}
+    count, m = p.blocks(len(names))
+    edges = [round(i * fuzzy_lines.BITS / count) for i in range(count + 1)]
+    agree = lambda x: sum((x >> a) & ((1 << (b - a)) - 1) == 0 for a, b in zip(edges, edges[1:])) >= m
+    near = lambda x: x.bit_count() <= p.max_bits and agree(x)
     links = [
         (a, b) for a, b in itertools.combinations(names, 2)
-        if (marks[a] ^ marks[b]).bit_count() <= p.max_bits and _edits(a, b) <= int((1 - p.similarity) * max(len(a), len(b)) + 1e-9)
+        if near(marks[a] ^ marks[b]) and _edits(" ".join(a), " ".join(b)) <= int((1 - p.similarity) * max(len(" ".join(a)), len(" ".join(b))) + 1e-9)
     ]
     groups = collections.defaultdict(list)
     for n, c in component_map(links, names).items():
         groups[c] += held[n]
     out = collections.defaultdict(list)
     for spots in groups.values():
-        for i, at in set(spots) - {min(spots)}:
-            out[i].append(at)
-    return {i: sorted(v) for i, v in out.items()}, len(links)
+        for *_, at, row in set(spots) - {min(spots)}:
+            out[row].append(at)
+    return {k: sorted(v) for k, v in out.items()}, len(links)
+
+
+def _found(docs, p):
+    return {(r.doc_id, r.text): list(r.removed) for r in fuzzy_lines.with_removed(docs, p).collect() if r.removed is not None}
 
 
 def test_fuzzy_lines_against_all_pairs(spark, odd, empty):
@@ -248,47 +331,52 @@ def test_fuzzy_lines_against_all_pairs(spark, odd, empty):
         lines = []
         for _ in range(3):
             ws = r.choice(base).split(" ")
-            ws[r.randrange(len(ws))] = "q" + str(r.randrange(3))
-            lines.append(" ".join(ws).upper() if r.random() < 0.2 else " ".join(ws))
-        rows.append((i, "\n".join(lines + ["short one", ""]), "a"))
+            ws[r.randrange(len(ws))] = "q" + "abc"[r.randrange(3)] * 5
+            if r.random() < 0.3:
+                del ws[r.randrange(len(ws))]
+            lines.append(" ".join(ws).upper() if r.random() < 0.2 else "\t".join(ws))
+        rows.append((i if i % 9 else None if i % 2 else 7, "\n".join(lines + ["short one", "Short, one!", "", "- 12 -", "ab", f"own line of {'xyz'[i % 3] * 9}"]), "a"))
     want, links = _removed(rows, p)
     assert links > 20
     docs = table(spark, rows)
-    got = {x.doc_id: list(x.removed) for x in fuzzy_lines.removed_lines(docs, p).collect()}
+    got = _found(docs, p)
     assert got == want
-    cleaned = {x.doc_id: x.text for x in fuzzy_lines.without_fuzzy_lines(docs, p).collect()}
-    assert all(cleaned[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i, [])) for i, t, _ in rows)
-    assert {x.doc_id: list(x.removed) for x in fuzzy_lines.removed_lines(odd, p).collect()} == {8: [0]}
-    assert fuzzy_lines.without_fuzzy_lines(odd, p).count() == 10
-    assert fuzzy_lines.removed_lines(empty, p).count() == 0
+    odd_rows = [(r.doc_id, r.text, None) for r in odd.collect()]
+    assert _found(odd, p) == _removed(odd_rows, p)[0]
+    assert fuzzy_lines.without_fuzzy_lines(empty, p).count() == 0
 
 
-def test_lines_that_differ_in_numbers_and_punctuation_are_equal(spark):
-    forms = ["Page 3 of the long annual report", "page 17 of the  long annual report!", "-- Page 4, of\tthe long annual report.\r", "PAGE of_the (long) annual report 2020"]
-    tabs = ["alpha\tbravo\tcharlie\tdelta\techo\tfoxtrot", "alpha bravo charlie delta echo foxtrot"]
-    fold = lambda x: re.sub(r"[\s\d!-/:-@\[-`{-~]+", " ", x.lower(), flags=re.ASCII).strip(" ")
-    assert len({fold(x) for x in forms}) == len({fold(x) for x in tabs}) == 1
-    rows = [(i, f"{x}\n1 2 3 4 5 6\nown line number {i}", "a") for i, x in enumerate(forms + tabs)]
-    p = fuzzy_lines.LineParameters(fold=True)
-    assert {x.doc_id: list(x.removed) for x in fuzzy_lines.removed_lines(table(spark, rows), p).collect()} == {i: [0] for i in (1, 2, 3, 5)}
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(1, "a common line of the two", "a"), (2, "a common line of the two\nanother thing", "a"), (2, "quite different words\nin another row\nof that id", "a"), (2, "quite different words\nin another row\nof that id", "a")]
+    docs = table(spark, rows).withColumn("removed", F.lit("clash"))
+    out = fuzzy_lines.without_fuzzy_lines(docs)
+    assert sorted(r.text for r in out.collect()) == sorted([rows[0][1], "another thing", rows[2][1], rows[3][1]])
+    assert dict(out.dtypes)["removed"] == "array<int>"
 
 
 def test_query_and_stage_fold_lines(spark, tmp_path):
-    lines = ["Page 3 of the long annual report", "page 17 of the  long annual report!"]
-    docs = table(spark, [(i, x, "a") for i, x in enumerate(lines)])
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    forms = ["Page 3 of the long annual report", "page 17 of the  long annual report!", "-- Page 4, of\tthe long annual report.\r", "PAGE of_the (long) annual report 2020"]
+    tabs = ["alpha\tbravo\tcharlie\tdelta\techo\tfoxtrot", "alpha bravo charlie delta echo foxtrot"]
+    rows = [(i, f"{x}\n1 2 3 4 5 6\n{'uvwxyz'[i] * 12}", "a") for i, x in enumerate(forms + tabs)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.removed_lines for r in q_lines.op5_fuzzy_lines(spark, str(tmp_path)).collect()}
-    assert got == {0: "", 1: "0"}
+    assert got == {0: "", 1: "0", 2: "0", 3: "0", 4: "", 5: "0"}
+    docs = table(spark, [(i, x, "a") for i, x in enumerate(forms[:2])])
     assert [r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()] == [0]
 
 
-def test_crowded_buckets_lose_no_link(spark):
+def test_crowded_and_hot_buckets_lose_no_link(spark):
     p = fuzzy_lines.LineParameters()
     base = prose(5, 12, 10**6)
-    rows = [(i, base + f" z{i % 10}", "a") for i in range(20)] + [(100 + i, base + f" {i}q", "a") for i in range(20)]
-    got = fuzzy_lines.removed_lines(table(spark, rows), p).collect()
-    want, _ = _removed(rows, p)
-    assert {x.doc_id: list(x.removed) for x in got} == want
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, base + f" z{word(i % 10)}", "a") for i in range(20)] + [(100 + i, base + f" {word(i)}q", "a") for i in range(150)]
+    assert _found(table(spark, rows), p) == _removed(rows, p)[0]
+
+
+def test_keys_are_wider_than_the_number_of_lines():
+    for n in (1, 2, 1000, 2 * 10**6, 10**9, 10**12):
+        count, m = fuzzy_lines.LineParameters().blocks(n)
+        assert count >= m + 2 and m * fuzzy_lines.BITS / count >= np.log2(max(n, 2)) + 3
 
 
 # Near duplicates
@@ -403,6 +491,46 @@ def test_mix(spark, odd, empty):
     assert len(run(odd)) == 10 and run(empty) == []
 
 
+def test_mix_keeps_large_ids_beside_null_ones(spark):
+    rows = [(2**53 + 1, "a b", "s"), (None, "c d", "s"), (None, "e f", "s"), (2**53 + 3, "g h", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("taken", F.lit("clash"))
+    out = mixing.mix(docs, mixing.weighted_quotas(), F.array("source"), mixing.word_count("text")).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _, _ in rows) and sum(r.taken for r in out) == 12
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.concat(F.lit("s"), F.col("id") % 12_000).alias("source"))
+    out = mixing.mix(docs, mixing.weighted_quotas(), F.array("source"), F.lit(3).cast("long")).agg(F.count("*").alias("n"), F.sum("taken").alias("t")).first()
+    # Targets of 12, 6 and 9 words of 6, capped at 12: each source comes within half a document of its own.
+    assert out.n == 24_000 and abs(out.t - 1.5 * 72_000) <= 12_000 * 1.5
+
+
+def test_op8_sizes_and_targets_of_all_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    size, weight = {r.doc_id: len(WORD.findall(r.text or "")) for r in rows}, (3, 1, 2)
+    of = collections.Counter()
+    for r in rows:
+        of[r.source] += size[r.doc_id]
+    names = sorted(of, key=lambda x: (x is None, x or ""))
+    left, free, target = 1.5 * sum(of.values()), list(range(len(names))), {}
+    while free:
+        share = {i: left * weight[i % 3] / sum(weight[j % 3] for j in free) for i in free}
+        full = [i for i in free if share[i] > 2 * of[names[i]]]
+        for i in full or free:
+            target[names[i]] = 2.0 * of[names[i]] if full else share[i]
+            left -= 2 * of[names[i]] if full else 0
+        free = [i for i in free if i not in full] if full else []
+    taken, source = collections.Counter(), {r.doc_id: r.source for r in rows}
+    got = q_mixing.op8_mix_sources(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in got} == set(size)
+    for r in got:
+        s = source[r.doc_id]
+        assert r.size == size[r.doc_id] and r.source_size == of[s] and r.target == pytest.approx(target[s]) and 0 <= r.taken <= 2 * r.size
+        taken[s] += r.taken
+    largest = {s: max(size[i] for i in size if source[i] == s) for s in names}
+    assert all(abs(taken[s] - target[s]) <= 0.1 * largest[s] for s in names)
+
+
 # Line quality
 
 
@@ -436,7 +564,7 @@ def test_lines_that_fail(spark):
 def test_rules_hosts_and_paths(spark):
     rules = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/")]
     urls = ["http://A.Example.com/en/x?q=/fr/", "https://www.example.com/en/", "x://b.com", None, "nothing", "h://q.org/com/", "http://notexample.com/en/#a", "://com/?://z"]
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls + urls[:1])], "page_id long, url string, suffix2 string")
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls + urls[:1])], "page_id long, url string, suffix string")
     got = {r.page_id: r for r in url_filter.judge(df, rules, max_iter=2).collect()}
     assert [(r.host, r.path, r.rule) for _, r in sorted(got.items())][:8] == [
         ("a.example.com", "/en/x", "example.com/en/"), ("www.example.com", "/en/", "www.example.com/en/"), ("b.com", "", None), ("", "", None),
@@ -456,5 +584,29 @@ def test_trees_learn_labelled_urls(spark):
     assert right >= 95
 
 
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_raw", "_p", "_x", "_prediction", "_row", "_url", "f_length", "suffix", "weight", "fold"]
+    df = spark.createDataFrame([(1, "http://a.org/x", "mine"), (2, "http://b.net/y1234", "mine")] * 3, "page_id long, url string, rule string")
+    df = df.withColumns({c: F.lit("own") for c in names})
+    labels = spark.createDataFrame([(f"http://{'ab'[i % 2]}.org/{i}", float(i % 2)) for i in range(40)] + [("http://hot.org/", 1.0)] * 500, "url string, label double")
+    out = url_filter.judge(df, [], labels=labels, max_labelled=30, max_iter=2).collect()
+    assert len(out) == 6 and all(r[c] == "own" for r in out for c in names) and all(r.rule is None and r.verdict in ("allow", "block") for r in out)
+
+
+def test_hosts_paths_and_rules_of_all_pages(spark):
+    c = duckdb.connect()
+    c.sql("create view pages as select * from '/root/testdata/sf0.001/pages.parquet'")
+    rules = sorted(((r.host, r.path, r.verdict) for r in q_url.RULES), key=lambda r: len(r[0] + r[1]))
+    cases = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h}{p}'" for h, p, _ in reversed(rules))
+    want = c.sql(f"""
+      with u as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end rest from pages),
+      h as (select page_id, lower(regexp_extract(rest, '^[^/?#]*')) host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u)
+      select page_id, host, path, case {cases} end from h""").fetchall()
+    got = q_url.op10_url_trees(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(want) == sorted((r.page_id, r.host, r.path, r.rule) for r in got)
+    verdicts = {h + p: v for h, p, v in rules}
+    assert all(r.verdict == verdicts[r.rule] for r in got if r.rule)
+
+
 def test_digest_of_no_spans_is_that_of_the_empty_string():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
