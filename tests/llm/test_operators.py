@@ -369,7 +369,7 @@ def test_crowded_and_hot_buckets_lose_no_link(spark):
     p = fuzzy_lines.LineParameters()
     base = prose(5, 12, 10**6)
     word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
-    rows = [(i, base + f" z{word(i % 10)}", "a") for i in range(20)] + [(100 + i, base + f" {word(i)}q", "a") for i in range(150)]
+    rows = [(i, base + f" z{word(i % 10)}", "a") for i in range(20)] + [(100 + i, base + f" {word(i)}q", "a") for i in range(90)]
     assert _found(table(spark, rows), p) == _removed(rows, p)[0]
 
 
