@@ -90,6 +90,17 @@ select session_id, op_seq, length, case when g < 0 then g + 360 else g end angle
   case when prev > 1e-5 then {even("length / prev", 2)} end relative_length
 from (select *, last_value(case when length > 1e-5 then length end ignore nulls)
   over (partition by session_id order by op_seq rows between unbounded preceding and 1 preceding) prev from m)"""
+# Lines under a mode: the first long enough line of a run of one mode is free and turns into the direction of the others.
+CONSTRAINED = LINES.replace(_ops(2), f"""{_ops(2).replace("ops as", "raw as")},
+  md as (select *, ['none', 'parallel', 'perpendicular', 'angle'][op_seq // 3 % 4 + 1] mode, {_D(1, 2)} len from raw),
+  rn as (select *, sum(case when mode = was then 0 else 1 end) over (partition by session_id order by op_seq) run
+    from (select *, lag(mode) over (partition by session_id order by op_seq) was from md)),
+  rf as (select *, first_value(case when mode <> 'none' and len > 1e-3 then [(x2-x1) / len, (y2-y1) / len] end ignore nulls)
+    over (partition by session_id, run order by op_seq rows between unbounded preceding and 1 preceding) u from rn),
+  dr as (select *, case mode when 'parallel' then u when 'perpendicular' then [-u[2], u[1]]
+    else [u[1]*cos(pi()/6) - u[2]*sin(pi()/6), u[1]*sin(pi()/6) + u[2]*cos(pi()/6)] end way from rf),
+  ft as (select *, (x2-x1)*way[1] + (y2-y1)*way[2] foot, mode = 'none' or u is null free from dr),
+  ops as (select session_id, op_seq, x1, y1, case when free then x2 else x1 + way[1]*foot end x2, case when free then y2 else y1 + way[2]*foot end y2 from ft)""")
 # The bisector's point lies at the signed distance e from the chord of length l: radius and angle follow from l and e.
 ARCS = f"""with {_ops(3)}, m as (select *, {_D(1, 2)} l, abs(((x2-x1)*(y3-(y1+y2)/2) - (y2-y1)*(x3-(x1+x2)/2)) / {_D(1, 2)}) e from ops),
   r as (select session_id, op_seq, l, e, l * e / (l*l/4 + e*e) det, (l*l/4 + e*e) / (2*e) radius, 720 / pi() * 2 * atan2(2*e, l) / 2 ang from m),
@@ -135,6 +146,23 @@ _D1 = lambda src, of: f"select a.image_id, a.x, a.y, a.inside, min(abs(a.x-z.x)
 DISTANCE = f"with {M}, k as ({_D1('m', 'not z.inside')}) select {XY}, 32::bigint w, 32::bigint h, inside, d::bigint d from k"
 ERODE = f"with {M} select {XY} from m a where inside and not exists (select 1 from m z where z.image_id = a.image_id and not z.inside and abs(a.x-z.x) + abs(a.y-z.y) <= 1)"
 DILATE = f"with {M} select distinct a.image_id, a.x::bigint x, a.y::bigint y from m a join m z on z.image_id = a.image_id and z.inside and abs(a.x-z.x) + abs(a.y-z.y) <= 2"
+# Opening by 1, then closing by 1, of the blob: each step marks all cells of the picture.
+_HIT = lambda src, z: f"exists (select 1 from {src} z where z.image_id = a.image_id and {z} and abs(a.x-z.x) + abs(a.y-z.y) <= 1)"
+_SHRINK = lambda src: f"(select image_id, x, y, inside and not {_HIT(src, 'not z.inside')} inside from {src} a)"
+_GROW = lambda src: f"(select image_id, x, y, {_HIT(src, 'z.inside')} inside from {src} a)"
+OPEN_CLOSE = f"""with {P}, m as (select image_id, x, y, ({t.BLOB}) inside from p), o1 as {_SHRINK("m")}, o2 as {_GROW("o1")},
+  c1 as {_GROW("o2")}, c2 as {_SHRINK("c1")} select {XY} from c2 where inside"""
+# One pass: the cell that a pixel adds is given by the first rule that holds, as a pair of steps.
+_AT = lambda dx, dy: f"exists (select 1 from m z where z.image_id = a.image_id and z.inside and z.x = a.x + {dx} and z.y = a.y + {dy})"
+_SIDES = {"n": (0, -1), "e": (1, 0), "s": (0, 1), "w": (-1, 0), "ne": (1, -1), "nw": (-1, -1), "se": (1, 1), "sw": (-1, 1)}
+TOPOLOGY = f"""with {M}, k as (select image_id, x, y, {", ".join(f"{_AT(*d)} {k}" for k, d in _SIDES.items())} from m a
+    where inside and x between 1 and 30 and y between 1 and 30),
+  j as (select *, n::int + e::int + s::int + w::int sides from k),
+  c as (select image_id, x, y, case when n and e and not ne then [1, -1] when e and s and not se then [1, 1]
+    when s and w and not sw then [-1, 1] when w and n and not nw then [-1, -1]
+    when sides = 0 and (ne and sw or nw and se) then [0, -1] when sides < 3 then null
+    when not ne then [1, -1] when not nw then [-1, -1] when not se then [1, 1] when not sw then [-1, 1] end g from j)
+select {XY} from m where inside union select image_id, (x + g[1])::bigint, (y + g[2])::bigint from c where g is not null"""
 _THIN = "exists (select 1 from k z where z.image_id = a.image_id and z.inside and z.d < 2 and abs(a.x-z.x) + abs(a.y-z.y) = 1)"
 CORRIDOR = f"with {M}, k as ({_D1('m', 'not z.inside')}) select {XY} from k a where inside and not {_THIN}"
 BOUNDS = f"""with {P} select image_id, greatest(0, min(x)-2)::bigint x0, greatest(0, min(y)-2)::bigint y0, least(31, max(x)+2)::bigint x1,
@@ -248,6 +276,9 @@ ORACLE_SQL: dict[str, str] = {
     "box_blur": BLUR,
     "sobel": SOBEL,
     "distance_transform": DISTANCE,
+    "constrained_line_metrics": _rounded(CONSTRAINED, "length angle relative_length", 4),
+    "open_close": OPEN_CLOSE,
+    "smooth_topology": TOPOLOGY,
     "erode": ERODE,
     "dilate": DILATE,
     "corridor": CORRIDOR,
