@@ -14,6 +14,11 @@ Leaves are compared exhaustively on 64-bit sketches. What is close there forms
 candidate clusters, within which links are confirmed on full shingle sets.
 Equal sets are one representative throughout: a group of copies costs one row.
 
+A leaf of more than ``leaf_rows`` texts, as many variants of one text make, is
+dealt into parts that are compared apart, then by a sample of all parts, which
+joins what is common; what is then outside its largest component meets all of
+its parts. No task holds more than two parts, and no close pair is left apart.
+
 A cluster of more than ``block`` sets is compared in blocks, then through
 delegates of the components found, and what is then outside a cluster's
 largest component is compared with all of the cluster, so no link between
@@ -49,6 +54,7 @@ class JoinParameters:
     background: float = 0.05  # similarity of unrelated documents
     leaf: int = 8  # unrelated documents that a leaf may hold on average
     sketch_distance: int = 17  # of 64 bits; at the threshold 6.4 differ on average, with a deviation of 2.4
+    leaf_rows: int = 4096  # texts of a leaf that are compared in one piece
     block: int = 512
     delegates: int = 8
     seed: int = 7
@@ -183,6 +189,38 @@ def leaf_candidates(members: DataFrame, most: int, small: int = 32) -> DataFrame
     return members.mapInArrow(run, "a long, b long")
 
 
+def close_texts(members: DataFrame, p: JoinParameters) -> DataFrame:
+    """Edges (a, b) that join all texts (leaf, id, sketch) of a leaf that are close, for leaves of any size."""
+
+    def compared(rows: DataFrame) -> DataFrame:
+        whole = rows.select("leaf", "id", "sketch").repartition("leaf").sortWithinPartitions("leaf")
+        return leaf_candidates(whole, p.sketch_distance)
+
+    sizes = written(members.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > p.leaf_rows))
+    if not sizes.limit(1).count():
+        return written(compared(members).distinct())
+    parts = F.ceil(F.col("size") / p.leaf_rows).cast("int")
+    large = members.join(sizes, "leaf").select("leaf", "id", "sketch", parts.alias("parts"))
+    large = written(large.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    sample = large.where(F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")) == 0).withColumn("part", F.lit(-1))
+    dealt = large.unionAll(sample).withColumn("leaf", F.xxhash64("leaf", "part"))
+    small = members.join(sizes, "leaf", "left_anti").select("leaf", "id", "sketch")
+    edges = written(compared(small.unionAll(dealt.select("leaf", "id", "sketch"))).distinct())
+    # Components of all leaves so far: what another leaf has joined needs no comparison here.
+    labels = connected_components(edges, "a", "b").withColumnRenamed("node", "id")
+    now = written(large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    counts = now.groupBy("leaf", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("leaf").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    outside = now.join(largest, "leaf").where("component != largest")
+    chunks = outside.groupBy("leaf").agg(F.ceil(F.count("*") / p.leaf_rows).cast("int").alias("chunks"))
+    outside = outside.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    outside = outside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    against = now.join(chunks, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    meet = outside.select("leaf", "chunk", "part", "id", "sketch").unionAll(against.select("leaf", "chunk", "part", "id", "sketch"))
+    meet = meet.distinct().withColumn("leaf", F.xxhash64("leaf", "chunk", "part"))
+    return written(edges.unionAll(compared(meet)).distinct())
+
+
 def exact_links(sets: list[np.ndarray], percent: int, columns: int = 8192) -> np.ndarray:
     """Matrix of booleans: 100 * intersection >= percent * union, on full sets."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -263,8 +301,7 @@ def near_duplicates(
     classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     members = reps.select(F.explode("leaves").alias("leaf"), F.col("doc_id").alias("id"), "sketch")
-    members = members.repartition("leaf").sortWithinPartitions("leaf")
-    candidates = written(leaf_candidates(members, p.sketch_distance).distinct())
+    candidates = close_texts(members, p)
     clusters = written(connected_components(candidates, "a", "b").withColumnRenamed("component", "cluster"))
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
     texts = texts.join(clusters.select(F.col("node").alias("id")), "id", "left_semi")

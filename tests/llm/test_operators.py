@@ -391,8 +391,8 @@ def _near(rows, k, percent):
     return component_map(links, sets), {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_near_duplicates_against_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "leaf_rows"), [(512, 4096), (8, 4)])
+def test_near_duplicates_against_all_pairs(spark, block, leaf_rows):
     r = random.Random(8)
     rows = [(i, prose(i, 90), "a") for i in range(0, 40)]
     for i in range(40, 110):
@@ -402,12 +402,30 @@ def test_near_duplicates_against_all_pairs(spark, block):
         rows.append((i, " ".join(ws), "a"))
     rows += [(200, None, "a"), (201, "", "a"), (202, "One", "a"), (203, "one", "a"), (204, rows[0][1].upper(), "a")]
     docs = table(spark, rows)
-    got = chosen_path.near_duplicates(docs, chosen_path.JoinParameters(shingle=2, block=block)).collect()
+    got = chosen_path.near_duplicates(docs, chosen_path.JoinParameters(shingle=2, block=block, leaf_rows=leaf_rows)).collect()
     want, sizes = _near(rows, 2, 80)
     assert {x.doc_id: x.component_id for x in got} == want
     assert {x.doc_id: x.n_shingles for x in got} == sizes and all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_a_large_leaf_in_parts_joins_what_all_pairs_join(spark):
+    r = random.Random(5)
+    centres = [r.getrandbits(64) for _ in range(3)]
+    rows = []
+    for i in range(120):
+        sketch = centres[0 if i < 80 else i % 3]
+        for _ in range(r.randrange(0, 12)):
+            sketch ^= 1 << r.randrange(64)
+        rows.append((1 if i % 2 else 2, i, sketch - (1 << 64) if sketch >> 63 else sketch))
+    members = spark.createDataFrame(rows + [(1, i + 1000, s) for _, i, s in rows], "leaf long, id long, sketch long")
+    rows = [tuple(x) for x in members.collect()]
+    near = lambda x, y: x[0] == y[0] and ((x[2] ^ y[2]) & (2**64 - 1)).bit_count() <= 17
+    want = component_map([(x[1], y[1]) for x, y in itertools.combinations(rows, 2) if near(x, y)], {x[1] for x in rows})
+    for leaf_rows in (4096, 10):
+        got = chosen_path.close_texts(members, chosen_path.JoinParameters(leaf_rows=leaf_rows)).collect()
+        assert component_map([(x.a, x.b) for x in got], {x[1] for x in rows}) == want
+
+
 def test_near_duplicate_edges(spark, odd, empty):
     got = chosen_path.near_duplicates(odd).collect()
     by = {x.doc_id: x for x in got}
