@@ -31,6 +31,10 @@ def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.assemble(tables.clicks(spark, sf_dir), 3)
 
 
+def _arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.circular_arc_metrics(sessions.assemble_arcs(tables.clicks(spark, sf_dir)))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.assemble(tables.clicks(spark, sf_dir), 2)
 
@@ -89,6 +93,30 @@ def _watershed(spark, sf_dir):
     return regions.watershed(tables.pixels(spark, sf_dir), _seeds(spark, sf_dir), written(_background(spark, sf_dir)), 1)
 
 
+def _segmented(spark, sf_dir):
+    """Watershed from each image's click, flooding where that finds none."""
+    return regions.segment(tables.pixels(spark, sf_dir), _seeds(spark, sf_dir), written(_background(spark, sf_dir)), blur=1)
+
+
+def _merged(spark, sf_dir):
+    """Regions of two clicks on each image as one."""
+    raster, bg = tables.pixels(spark, sf_dir), written(_background(spark, sf_dir))
+    clicks = [_seeds(spark, sf_dir).withColumn("y", F.lit(y)) for y in (14, 18)]
+    found = [written(regions.segment(raster, c, bg, "flood")) for c in clicks]
+    return regions.merge_seeds(found, written(pixels.dimensions(raster)))
+
+
+def _clicked(spark, sf_dir):
+    images = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    transforms = images.select(
+        F.col("s_suppkey").cast("long").alias("image_id"), (1 + F.col("s_suppkey") % 3).cast("double").alias("scale"),
+        (F.col("s_suppkey") % 5).cast("double").alias("offset_x"), (F.col("s_suppkey") % 7).cast("double").alias("offset_y"),
+        F.lit(320).alias("w"), F.lit(320).alias("h"),
+    )
+    points = tables.clicks(spark, sf_dir).select(F.col("session_id").cast("long").alias("image_id"), "x", "y")
+    return pixels.image_to_pixel(points, transforms)
+
+
 def _segmented_outlines(spark, sf_dir):
     """From pixels to the metrics of the cleaned outline: the whole chain."""
     raster = tables.pixels(spark, sf_dir)
@@ -147,7 +175,9 @@ def _csv_lines(spark, sf_dir):
 
 
 def _summary(spark, sf_dir):
-    return reports.metadata_summary(outline_metrics.shape_metrics(tables.outlines(spark, sf_dir)), fourier.efd_normalized(_efd(spark, sf_dir)))
+    # Rounded first: a zero's sign is noise.
+    efd = rounded(fourier.efd_normalized(_efd(spark, sf_dir)), 4)
+    return reports.metadata_summary(outline_metrics.shape_metrics(tables.outlines(spark, sf_dir)), efd)
 
 
 def _component_sizes(mask: DataFrame, dims: DataFrame) -> DataFrame:
@@ -167,7 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "efd_normalized": lambda s, d: rounded(fourier.efd_normalized(_efd(s, d))),
     "efd_reconstruct": lambda s, d: rounded(fourier.reconstruct(_efd(s, d), fourier.vertex_mean(tables.outlines(s, d)))),
     "projection_series": lambda s, d: rounded(fourier.projection_series(fourier.efd_normalized(_efd(s, d)))),
-    "circular_arc_metrics": lambda s, d: rounded(sessions.circular_arc_metrics(_triples(s, d)), 4),
+    "circular_arc_metrics": lambda s, d: rounded(_arcs(s, d), 4),
     "parabola_metrics": lambda s, d: rounded(sessions.parabola_metrics(_triples(s, d)), 5),
     "triangle_metrics": lambda s, d: rounded(sessions.triangle_metrics(_triples(s, d)), 4),
     "shape_metrics": lambda s, d: rounded(sessions.shape_metrics(_pairs(s, d), _kinds()), 4),
@@ -204,6 +234,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flood_fill": lambda s, d: rounded(_flood(s, d)),
     "interior_peak": lambda s, d: rounded(regions.interior_peak(tables.pixels(s, d), _seeds(s, d), _background(s, d))),
     "watershed": lambda s, d: rounded(_watershed(s, d)),
+    "segment": lambda s, d: rounded(_segmented(s, d)),
+    "merge_seeds": lambda s, d: rounded(_merged(s, d)),
+    "image_to_pixel": lambda s, d: rounded(_clicked(s, d)),
     "trace_boundary": lambda s, d: rounded(_traced(s, d)),
     "segmented_outline_metrics": lambda s, d: rounded(_segmented_outlines(s, d), 4),
     "convex_hull": _outline(outline_building.convex_hull),

@@ -43,6 +43,37 @@ def cross(ax, ay, bx, by) -> Column:
     return col(ax) * col(by) - col(ay) * col(bx)
 
 
+def add(a: tuple, b: tuple) -> tuple[Column, ...]:
+    """Sum of two vectors of two or three parts."""
+    return tuple(col(p) + col(q) for p, q in zip(a, b, strict=True))
+
+
+def subtract(a: tuple, b: tuple) -> tuple[Column, ...]:
+    return tuple(col(p) - col(q) for p, q in zip(a, b, strict=True))
+
+
+def scale(a: tuple, by) -> tuple[Column, ...]:
+    return tuple(col(p) * col(by) for p in a)
+
+
+def dot_product(a: tuple, b: tuple) -> Column:
+    return sum((col(p) * col(q) for p, q in zip(a, b, strict=True)), F.lit(0.0))
+
+
+def magnitude(a: tuple) -> Column:
+    return F.sqrt(dot_product(a, a))
+
+
+def normalized(a: tuple) -> tuple[Column, ...]:
+    """The vector at length 1; null for the zero vector."""
+    return tuple(F.when(magnitude(a) > 0, col(p) / magnitude(a)) for p in a)
+
+
+def cross_3d(a: tuple, b: tuple) -> tuple[Column, Column, Column]:
+    (x, y, z), (u, v, w) = a, b
+    return cross(y, z, v, w), cross(z, x, w, u), cross(x, y, u, v)
+
+
 def angle_between(ax, ay, bx, by) -> Column:
     """Signed angle from a to b in degrees."""
     return F.atan2(cross(ax, ay, bx, by), dot(ax, ay, bx, by)) * 180.0 / F.lit(3.141592653589793)

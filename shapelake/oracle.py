@@ -102,19 +102,45 @@ CONSTRAINED = LINES.replace(_ops(2), f"""{_ops(2).replace("ops as", "raw as")},
   ft as (select *, (x2-x1)*way[1] + (y2-y1)*way[2] foot, mode = 'none' or u is null free from dr),
   ops as (select session_id, op_seq, x1, y1, case when free then x2 else x1 + way[1]*foot end x2, case when free then y2 else y1 + way[2]*foot end y2 from ft)""")
 # The bisector's point lies at the signed distance e from the chord of length l: radius and angle follow from l and e.
-ARCS = f"""with {_ops(3)}, m as (select *, {_D(1, 2)} l, abs(((x2-x1)*(y3-(y1+y2)/2) - (y2-y1)*(x3-(x1+x2)/2)) / {_D(1, 2)}) e from ops),
-  r as (select session_id, op_seq, l, e, l * e / (l*l/4 + e*e) det, (l*l/4 + e*e) / (2*e) radius, 720 / pi() * 2 * atan2(2*e, l) / 2 ang from m),
+# A chord's third click is the first one after it that makes no flat arc; the click after that begins the next chord.
+_FLAT = """(power(b.x-a.x, 2) + power(b.y-a.y, 2) > 0 and abs((b.x-a.x)*(z.y-a.y) - (b.y-a.y)*(z.x-a.x))
+    <= 1e-5 * ((power(b.x-a.x, 2) + power(b.y-a.y, 2)) / 4 + power((b.x-a.x)*(z.y-a.y) - (b.y-a.y)*(z.x-a.x), 2) / (power(b.x-a.x, 2) + power(b.y-a.y, 2))))"""
+_ARC_OPS = f"""c as ({t.CLICKS}), k as materialized (select *, click_seq - 1 n from c),
+  nx as materialized (select a.session_id, a.n, min(z.n) e from k a join k b on b.session_id = a.session_id and b.n = a.n + 1
+    join k z on z.session_id = a.session_id and z.n > b.n and not {_FLAT} group by 1, 2),
+  ch(session_id, n) as (select distinct session_id, 0::bigint from k union all select session_id, e + 1 from ch join nx using (session_id, n)),
+  ops as (select session_id, row_number() over (partition by session_id order by n) - 1 op_seq, a.x x1, a.y y1, b.x x2, b.y y2, z.x x3, z.y y3
+    from ch join nx using (session_id, n) join k a using (session_id, n) join k b on b.session_id = a.session_id and b.n = a.n + 1
+    join k z on z.session_id = a.session_id and z.n = e)"""
+ARCS = f"""with recursive {_ARC_OPS}, m as (select *, {_D(1, 2)} l, ((x2-x1)*(y3-(y1+y2)/2) - (y2-y1)*(x3-(x1+x2)/2)) / {_D(1, 2)} h, abs(h) e from ops),
+  r as (select session_id, op_seq, l, e, h, l * e / (l*l/4 + e*e) det, (l*l/4 + e*e) / (2*e) radius, 720 / pi() * 2 * atan2(2*e, l) / 2 ang from m),
   q as (select *, {even("ang", 2)} central from r)
 select session_id, op_seq, coalesce(not det > 1e-5, true) is_flat, case when det > 1e-5 then central end central_angle,
   case when det > 1e-5 then radius end radius, case when det > 1e-5 then {ratio("l", "e", 2)} end chord_rise_ratio,
-  case when det > 1e-5 then {ratio("l", "radius * central * pi() / 180", 2)} end chord_arc_ratio from q"""
+  case when det > 1e-5 then {ratio("l", "radius * central * pi() / 180", 2)} end chord_arc_ratio, case when det > 1e-5 then e >= l / 2 end is_large_arc,
+  case when det > 1e-5 then case when h < 0 then 'clockwise' else 'counterclockwise' end end sweep from q"""
 # Half the signed height over the chord gives the parabola a (x - 0.5)^2 - a/4 with a = -4 v.
 PARABOLAS = f"""with {_ops(3)}, m as (select *, {_D(1, 2)} l from ops),
   q as (select *, case when l >= 1e-8 then -4 * ((x2-x1)*(y3-(y1+y2)/2) - (y2-y1)*(x3-(x1+x2)/2)) / (l*l) else 0 end a from m),
   z as (select session_id, op_seq, sum(sqrt(1/4096.0 + pow(a*((i+1)/64.0*((i+1)/64.0-1) - i/64.0*(i/64.0-1)), 2))) * any_value(l) arc
     from q cross join (select unnest(range(64)) i) where l >= 1e-8 group by 1, 2)
 select session_id, op_seq, a, {ratio("abs(a) / 4 * l", "l", 3)} rise_span_ratio, {even("abs(2*a)", 5)} vertex_curvature,
-  coalesce({ratio("l", "arc", 2)}, 0) chord_arc_ratio from q left join z using (session_id, op_seq)"""
+  coalesce({ratio("l", "arc", 2)}, 0) chord_arc_ratio, printf('y = %.3fx² + %.3fx + %.3f', a + 0.0, 0.0 - a, 0.0::double) equation
+from q left join z using (session_id, op_seq)"""
+# Histories as two lists of event numbers; below a surviving operation lies what lay there when it was committed.
+REPLAYED = f"""lg as materialized ({t.OP_LOG}), h(session_id, event_seq, done, undone) as (
+    select distinct session_id, 0::bigint, []::bigint[], []::bigint[] from lg union all
+    select lg.session_id, lg.event_seq,
+      case when action = 'commit' then list_append(done, lg.event_seq) when action = 'undo' then done[:greatest(len(done), 1) - 1]
+        when len(undone) > 0 then list_append(done, undone[-1]) else done end,
+      case when action = 'commit' then []::bigint[] when action = 'redo' then undone[:greatest(len(undone), 1) - 1]
+        when len(done) > 0 then list_append(undone, done[-1]) else undone end
+    from h join lg on lg.session_id = h.session_id and lg.event_seq = h.event_seq + 1),
+  top as (select session_id, max_by(done, event_seq) done from h group by 1),
+  rp as (select session_id, event_seq op_seq, kind, measure, lag(measure) over (partition by session_id, kind order by event_seq) previous
+    from (select session_id, unnest(done) event_seq from top) join lg using (session_id, event_seq))"""
+LATEST = f"""with recursive {REPLAYED}, l as (select session_id, max_by(kind, op_seq) kind, max_by(measure, op_seq) measure, arg_max_null(previous, op_seq) previous from rp group by 1)
+select session_id, kind, coalesce(measure, 0) measure, case when previous > 1e-5 then {even("measure / previous", 2)} end relative from top left join l using (session_id)"""
 
 P = f"p as ({t.PIXELS.replace('{grid}', t.DUCK_GRID)})"
 DIST = """sqrt(2*({a}r-{b}r)*({a}r-{b}r) + 4*({a}g-{b}g)*({a}g-{b}g) + 3*({a}b-{b}b)*({a}b-{b}b))"""
@@ -177,6 +203,14 @@ COMPONENTS = f"""with recursive {M}, s as (select image_id, x, y from m where in
 HOLES = f"""with recursive {M}, s as (select image_id, x, y from m where not inside),
   r(image_id, x, y) as (select * from s where x in (0, 31) or y in (0, 31) union select s.image_id, s.x, s.y from r join s on {_NEAR})
 select image_id, 1024 - count(*) area from r group by 1"""
+# The blob without a disc, its holes filled: what border pixels outside do not reach. Of its components the largest.
+CARVED = f"""with recursive {P}, m as (select image_id, x, y, ({t.BLOB}) and (x-16)*(x-16) + (y-12)*(y-12) > 9 inside from p), s as (select image_id, x, y from m where not inside),
+  r(image_id, x, y) as (select * from s where x in (0, 31) or y in (0, 31) union select s.image_id, s.x, s.y from r join s on {_NEAR}),
+  f as materialized (select image_id, x, y from m anti join r using (image_id, x, y)),
+  c as (select * from f where not exists (select 1 from f z where z.image_id = f.image_id and (z.x = f.x-1 and z.y = f.y or z.x = f.x and z.y = f.y-1))),
+  w(image_id, x, y, root) as (select image_id, x, y, y*32+x from c union select s.image_id, s.x, s.y, r.root from w r join f s on {_NEAR}),
+  q as (select image_id, x, y, min(root) root from w group by 1, 2, 3), n as (select image_id, root, count(*) n from q group by 1, 2)
+select image_id, max(n) area from n group by 1 having max(n) >= 9"""
 # Of one region without holes, every side between inside and outside is one step of the loop.
 TRACE = f"""with {P}, m as (select image_id, x, y from p where {t.BLOB})
 select m.image_id, sum(4 - (select count(*) from m z where z.image_id = m.image_id and abs(z.x-m.x) + abs(z.y-m.y) = 1))::bigint n,
@@ -250,6 +284,26 @@ CATMULL = f"""with {L}, n as (select *, row_number() over w - 1 k, count(*) over
 select line_id, points, {ratio("tl", "arc", 2)} turning_per_length, {ratio("arc", "chord", 2)} arc_chord_ratio, {even("s", 4)} sum_turning,
   {even("mean", 4)} mean_turning, {even("var", 4)} var_turning from y join e using (line_id)"""
 
+# Clicks up to a double click are one spline of three points at least.
+_CLICKED = f"""select [session_id, op_seq] line_id, row_number() over (partition by session_id, op_seq order by click_seq) - 1 seq, x, y from (
+  select *, max(d) over (partition by session_id, op_seq) closed, sum(1 - d) over (partition by session_id, op_seq) m from (
+    select *, coalesce(sum(d) over (partition by session_id order by click_seq rows between unbounded preceding and 1 preceding), 0)::bigint op_seq
+    from (select *, (event_type = 'signup')::int d from ({t.CLICKS})))) where d = 0 and closed = 1 and m >= 3"""
+CLICK_SPLINES = f"select * exclude (line_id), line_id[1] session_id, line_id[2] op_seq from ({CATMULL.replace(L, f'l as ({_CLICKED})')})"
+_EFD4 = f"with {NORM}, e4 as (select outline_id, harmonic, round(a, 4) + 0.0 a, round(b, 4) + 0.0 b, round(c, 4) + 0.0 c, round(d, 4) + 0.0 d from norm)"
+SUMMARY = f"""{_EFD4}, lines as (select outline_id, string_agg(printf('%d: %.4f %.4f %.4f %.4f', harmonic, a, b, c, d), chr(10) order by harmonic) lines from e4 group by 1)
+select outline_id, printf('Perimeter: %.2f\nArea: %.2f\nAspect ratio: %.2f\nPerimeter/area: %.4f\nCircularity: %.4f\nTurning: %.4f, mean %.4f, variance %.4f\n',
+  perimeter, area, aspect_ratio, perimeter_area_ratio, circularity, sum_turning, mean_turning, var_turning) || lines report from ({SHAPE}) join lines using (outline_id)"""
+# Four digits, the least of them as Java writes them.
+_TEXT = lambda c: f"case when {c} <> 0 and abs({c}) < 1e-3 then printf('%d.0E-4', round({c} * 1e4)::bigint) else {c}::varchar end"
+CSV = f"""{_EFD4}, nm as ({NAMES}), b as (select outline_id, specimen_name, harmonic, a, b, c, d from e4 join nm on image_id = outline_id)
+select distinct outline_id, 0::bigint line_no, case when regexp_matches(specimen_name, '[",\r\n]') then '"' || replace(specimen_name, '"', '""') || '"' else specimen_name end line from b
+union all select distinct outline_id, 1, 'harmonic,a,b,c,d' from b
+union all select outline_id, max(harmonic) + 2, '' from b group by 1
+union all select outline_id, harmonic + 1, concat_ws(',', harmonic, {_TEXT("a")}, {_TEXT("b")}, {_TEXT("c")}, {_TEXT("d")}) from b"""
+CANVAS = f"""select image_id, trunc((x - s_suppkey % 5) / (1 + s_suppkey % 3))::bigint x, trunc((y - s_suppkey % 7) / (1 + s_suppkey % 3))::bigint y
+from (select session_id image_id, x, y from ({t.CLICKS})) join supplier on s_suppkey = image_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "outline_perimeter_area": _rounded(PERIMETER_AREA, "perimeter signed_area area", 6),
     "outline_shape_metrics": _rounded(SHAPE, "perimeter area min_x min_y max_x max_y sum_turning var_turning mean_turning aspect_ratio perimeter_area_ratio circularity", 4),
@@ -294,4 +348,11 @@ ORACLE_SQL: dict[str, str] = {
     "solidity": _rounded(SOLIDITY, "hull_area solidity", 4),
     "smooth_outline": _rounded(f"with {SMOOTH} select outline_id, seq, x, y from w5", "x y", 6),
     "seed_color": SEED,
+    "click_spline_metrics": _rounded(CLICK_SPLINES, "turning_per_length arc_chord_ratio sum_turning mean_turning var_turning", 4),
+    "metadata_summary": SUMMARY,
+    "efd_csv_lines": CSV,
+    "replay_history": f"with recursive {REPLAYED} select * from rp",
+    "latest_result": _rounded(LATEST, "measure relative", 4),
+    "carve": CARVED,
+    "image_to_pixel": f"select * from ({CANVAS}) where x between 0 and 319 and y between 0 and 319",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,7 +44,12 @@ def stream_histories(op_log: DataFrame) -> DataFrame:
 
 
 def stream_triples(clicks: DataFrame) -> DataFrame:
-    """Every three clicks of a session are one operation; a third click on a line with the first two is ignored and retried."""
+    """``assemble_arcs`` as a stream: a third click that makes a flat arc is ignored and retried."""
+
+    def flat(ax, ay, bx, by, x, y) -> bool:
+        chord = math.hypot(bx - ax, by - ay)
+        height = abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / chord if chord else 0.0
+        return chord > 0 and chord * height / (chord * chord / 4 + height * height) <= 1e-5
 
     def gather(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         op, *held = state.get if state.exists else (0, "[]")
@@ -52,7 +58,7 @@ def stream_triples(clicks: DataFrame) -> DataFrame:
         for x, y in log[["x", "y"]].itertuples(index=False, name=None):
             if len(held) == 2:
                 (ax, ay), (bx, by) = held
-                if abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) <= 1e-5:
+                if flat(ax, ay, bx, by, x, y):
                     continue
                 out.append((int(key[0]), op, ax, ay, bx, by, float(x), float(y)))
                 op, held = op + 1, []

@@ -5,7 +5,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from shapelake.functions import geometry as g
 from shapelake.operators import fourier, masks, outline_building, outline_metrics, pixels, regions, sessions, splines
 from shapelake.plans.rounds import connected_components
 from shapelake.sources import images, reports
@@ -221,3 +223,48 @@ def test_histories(spark, actions, left):
     log = [(1, i, word[a], "line", float(i)) for i, a in enumerate(actions, 1)]
     df = spark.createDataFrame(log, "session_id long, event_seq long, action string, kind string, measure double")
     assert sorted(r.op_seq for r in sessions.replay_history(df).collect()) == left
+
+
+def _arcs_by_hand(points):
+    out, held = [], []
+    for p in points:
+        if len(held) < 2:
+            held.append(p)
+            continue
+        (ax, ay), (bx, by) = held
+        chord = math.dist(*held)
+        height = abs((bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)) / chord if chord else 0
+        if chord and chord * height / (chord * chord / 4 + height * height) <= 1e-5:
+            continue
+        out.append((*held[0], *held[1], *p))
+        held = []
+    return out
+
+
+def test_arcs_ignore_flat_third_clicks(spark):
+    r = random.Random(3)
+    sessions_ = {s: [(float(r.randrange(4)), float(r.randrange(2) if s % 2 else r.randrange(3))) for _ in range(n)] for s, n in enumerate((0, 1, 2, 3, 40, 41, 77))}
+    sessions_[7] = [(float(i), 0.0) for i in range(12)]  # never ends its first arc
+    sessions_[8] = [(float(i), float(i * i)) for i in range(31)]  # no flat arc
+    rows = [(s, 3 * i, x, y) for s, ps in sessions_.items() for i, (x, y) in enumerate(ps)]
+    got = {}
+    for x in sessions.assemble_arcs(spark.createDataFrame(rows, "session_id long, click_seq long, x double, y double")).orderBy("session_id", "op_seq").collect():
+        got.setdefault(x.session_id, []).append(tuple(x)[1:])
+    for s, ps in sessions_.items():
+        assert got.get(s, []) == [(i, *op) for i, op in enumerate(_arcs_by_hand(ps))]
+
+
+def test_vectors_of_two_and_three_parts(spark):
+    a, b, zero = (F.lit(1.0), F.lit(2.0), F.lit(2.0)), (F.lit(3.0), F.lit(0.0), F.lit(4.0)), (F.lit(0.0),) * 3
+    row = spark.range(1).select(
+        F.array(*g.add(a, b)), F.array(*g.subtract(a, b)), F.array(*g.scale(a, 2.0)), g.dot_product(a, b), F.array(*g.cross_3d(a, b)),
+        g.magnitude(a[1:]), F.array(*g.normalized(b[::2])), F.array(*g.normalized(zero)),
+    ).first()
+    assert list(row) == [[4, 2, 6], [-2, 2, -2], [2, 4, 4], 11, [8, 2, -6], math.sqrt(8), [0.6, 0.8], [None] * 3]
+
+
+def test_replay_without_a_session(spark):
+    log = [(None, 1, "commit", "line", 2.0), (None, 2, "commit", "line", 3.0), (None, 3, "undo", None, None), (5, 1, "undo", None, None)]
+    df = spark.createDataFrame(log, "session_id long, event_seq long, action string, kind string, measure double")
+    assert [tuple(x) for x in sessions.replay_history(df).collect()] == [(None, 1, "line", 2.0, None)]
+    assert {tuple(x) for x in sessions.latest_result(df).collect()} == {(None, "line", 2.0, None), (5, None, 0.0, None)}
