@@ -98,14 +98,6 @@ def _segmented(spark, sf_dir):
     return regions.segment(tables.pixels(spark, sf_dir), _seeds(spark, sf_dir), written(_background(spark, sf_dir)), blur=1)
 
 
-def _merged(spark, sf_dir):
-    """Regions of two clicks on each image as one."""
-    raster, bg = tables.pixels(spark, sf_dir), written(_background(spark, sf_dir))
-    clicks = [_seeds(spark, sf_dir).withColumn("y", F.lit(y)) for y in (14, 18)]
-    found = [written(regions.segment(raster, c, bg, "flood")) for c in clicks]
-    return regions.merge_seeds(found, written(pixels.dimensions(raster)))
-
-
 def _clicked(spark, sf_dir):
     images = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     transforms = images.select(
@@ -235,7 +227,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interior_peak": lambda s, d: rounded(regions.interior_peak(tables.pixels(s, d), _seeds(s, d), _background(s, d))),
     "watershed": lambda s, d: rounded(_watershed(s, d)),
     "segment": lambda s, d: rounded(_segmented(s, d)),
-    "merge_seeds": lambda s, d: rounded(_merged(s, d)),
     "image_to_pixel": lambda s, d: rounded(_clicked(s, d)),
     "trace_boundary": lambda s, d: rounded(_traced(s, d)),
     "segmented_outline_metrics": lambda s, d: rounded(_segmented_outlines(s, d), 4),
