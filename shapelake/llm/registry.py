@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from shapelake.llm import q_alignment, q_chat, q_lines, q_mixing, q_near, q_neighbours, q_packing, q_quality, q_secrets, q_substrings, q_url
+from shapelake.llm import q_alignment, q_chat, q_lines, q_mixing, q_near, q_negatives, q_neighbours, q_packing, q_quality, q_quality_pu, q_secrets, q_substrings, q_url
 
 MODULES = (
     q_neighbours, q_substrings, q_secrets, q_chat, q_lines, q_near, q_packing, q_mixing, q_quality, q_url,
-    q_alignment,
+    q_quality_pu, q_negatives, q_alignment,
 )
 
 
