@@ -133,6 +133,7 @@ def _positives(p: MiningParameters):
     def find(own: pa.Table, anchors: pa.Table) -> pa.Table:
         if not own.num_rows or not anchors.num_rows:
             return _empty(POSITIVE)
+        anchors = anchors.sort_by("place")  # parents are places
         rows, ids, labels = (_column(own, c) for c in ("row", "vec_id", "label"))
         a_rows, a_ids, a_labels = (_column(anchors, c) for c in ("row", "vec_id", "label"))
 
@@ -157,6 +158,7 @@ def _negatives(p: MiningParameters):
     def find(own: pa.Table, anchors: pa.Table) -> pa.Table:
         if not own.num_rows or not anchors.num_rows:
             return _empty(NEGATIVE)
+        anchors = anchors.sort_by("place")
         ids, labels = _column(own, "vec_id"), _column(own, "label")
         a_rows, a_ids, a_labels = (_column(anchors, c) for c in ("row", "vec_id", "label"))
         windows = [[(x, p.window(x["score"])) for x in found or []] for found in anchors["positives"].to_pylist()]
@@ -181,7 +183,8 @@ def _negatives(p: MiningParameters):
 
 def _tree(anchors: pa.Table) -> pa.Table:
     parent, edge = spanning_tree(_matrix(anchors, "v"))
-    return anchors.append_column("parent", pa.array(parent)).append_column("edge", pa.array(edge))
+    place = pa.array(np.arange(anchors.num_rows))
+    return anchors.append_column("place", place).append_column("parent", pa.array(parent)).append_column("edge", pa.array(edge))
 
 
 def usable(vector: Column, label: Column, vec_id: Column) -> Column:
@@ -207,7 +210,7 @@ def mine(vectors: DataFrame, is_anchor: Column, p: MiningParameters = MiningPara
     signs = F.aggregate(F.slice("v", 1, 16), F.lit(0), lambda s, x: s * 2 + (x > 0).cast("int")).alias("signs")
     dealt = base.where("asked").select("*", signs).repartitionByRange(anchor_blocks, "dim", "signs", "row")
     dealt = written(dealt.select("dim", F.spark_partition_id().alias("ablock"), "row", "vec_id", "label", "v"))
-    schema = "dim int, ablock int, row long, vec_id long, label long, v array<long>, parent long, edge double"
+    schema = "dim int, ablock int, row long, vec_id long, label long, v array<long>, place long, parent long, edge double"
     trees = written(dealt.groupBy("dim", "ablock").applyInArrow(_tree, schema))
 
     spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
@@ -221,7 +224,7 @@ def mine(vectors: DataFrame, is_anchor: Column, p: MiningParameters = MiningPara
     first = Window.partitionBy("a").orderBy(F.desc("score"), "c_id", "c")
     best = over_blocks(trees, _positives(p), POSITIVE).withColumn("n", F.row_number().over(first)).where(F.col("n") <= p.positives)
     best = best.groupBy(F.col("a").alias("row")).agg(F.sort_array(F.collect_list(F.struct("n", "c_id", "score"))).alias("positives"))
-    anchors = written(trees.join(best, "row"))
+    anchors = written(trees.join(best, "row", "left"))  # whole trees: who has no positives may have children
     first = Window.partitionBy("a", "n").orderBy(F.desc("negative_score"), "negative_id")
     out = over_blocks(anchors, _negatives(p), NEGATIVE).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= p.negatives)
     return out.select(F.col("a_id").alias("anchor_id"), "positive_id", "rank", "negative_id", "positive_score", "negative_score")
