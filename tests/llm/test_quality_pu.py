@@ -49,8 +49,8 @@ def test_prior_of_a_known_mixture():
 def test_non_negative_risk_does_not_call_everything_bad():
     rng = np.random.default_rng(2)
     make = lambda n, m: rng.normal(m, 1, (n, pu.WIDTH)).astype(np.float32)
-    positive, unlabelled = make(60, 0.15), np.concatenate([make(45, 0.15), make(15, -0.15)])
-    model = pu.fit(positive, unlabelled, pu.LearningParameters(decay=1e-4))
+    positive, unlabelled = make(600, 0.15), np.concatenate([make(450, 0.15), make(150, -0.15)])
+    model = pu.fit(positive, unlabelled)
     assert (model.score(make(200, 0.15)) >= 0.5).mean() > 0.8
     assert (model.score(make(200, -0.15)) < 0.5).mean() > 0.8
 
