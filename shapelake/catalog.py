@@ -98,6 +98,20 @@ def _segmented(spark, sf_dir):
     return regions.segment(tables.pixels(spark, sf_dir), _seeds(spark, sf_dir), written(_background(spark, sf_dir)), blur=1)
 
 
+def _merged(spark, sf_dir):
+    """Regions of three clicks on two dark spots: the first, the second, which a bridge joins to it, and the first again."""
+    spot = "(x - 24) * (x - 24) + (y - 22) * (y - 22) <= 12 + image_id % 5"
+    dark = {c: F.when(F.expr(spot), F.lit(v) + F.col(c) % 5).otherwise(F.col(c)) for c, v in (("r", 60), ("g", 90), ("b", 40))}
+    raster = written(tables.pixels(spark, sf_dir).withColumns(dark))
+    images = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("image_id"))
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("click_seq"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (x, y) in enumerate(((16, 15), (24, 22), (16, 15)))]))
+    clicks = images.where("image_id % 3 > 0").select("image_id", at.alias("a")).select("image_id", "a.*")
+    clicks = clicks.unionByName(images.where("image_id % 3 = 0").select("image_id", F.lit(0).alias("click_seq"), F.lit(24).alias("x"), F.lit(22).alias("y")))
+    corners = pixels.corner_colors(raster)
+    bg = written(regions.background_mask(raster, corners, pixels.adaptive_threshold(corners)))
+    return regions.merge_seeds(raster, clicks, bg, "flood")
+
+
 def _clicked(spark, sf_dir):
     images = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     transforms = images.select(
@@ -227,6 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interior_peak": lambda s, d: rounded(regions.interior_peak(tables.pixels(s, d), _seeds(s, d), _background(s, d))),
     "watershed": lambda s, d: rounded(_watershed(s, d)),
     "segment": lambda s, d: rounded(_segmented(s, d)),
+    "merge_seeds": lambda s, d: rounded(_merged(s, d)),
     "image_to_pixel": lambda s, d: rounded(_clicked(s, d)),
     "trace_boundary": lambda s, d: rounded(_traced(s, d)),
     "segmented_outline_metrics": lambda s, d: rounded(_segmented_outlines(s, d), 4),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapelake.plans.rounds import connected_components, until_stable, written
+from shapelake.plans.rounds import connected_components, discard, written
 
 KEY = ["image_id", "x", "y"]
 FAR = 1 << 29
@@ -22,15 +24,17 @@ def dense(mask: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def _distance(df: DataFrame, zero: Column) -> DataFrame:
-    """Adds d: 4-neighbour distance to the nearest pixel where zero holds, along columns and then along rows."""
-    col_, row_ = Window.partitionBy("image_id", "x").orderBy("y"), Window.partitionBy("image_id", "y").orderBy("x")
-    past = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    rest = lambda w: w.rowsBetween(0, Window.unboundedFollowing)
+    """Adds d: 4-neighbour distance to the nearest pixel where zero holds, along columns and then along rows.
+
+    Both ways are running minima, one of them in falling order: a frame that
+    reaches to the end would be summed up anew for each pixel.
+    """
+    way = lambda line, order: Window.partitionBy("image_id", line).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(zero, F.col("y"))
-    up, down = F.max(at).over(past(col_)), F.min(at).over(rest(col_))
+    up, down = F.max(at).over(way("x", F.asc("y"))), F.min(at).over(way("x", F.desc("y")))
     df = df.withColumn("_g", F.coalesce(F.least(F.col("y") - up, down - F.col("y")), F.lit(FAR)))
-    left = F.min(F.col("_g") - F.col("x")).over(past(row_)) + F.col("x")
-    right = F.min(F.col("_g") + F.col("x")).over(rest(row_)) - F.col("x")
+    left = F.min(F.col("_g") - F.col("x")).over(way("y", F.asc("x"))) + F.col("x")
+    right = F.min(F.col("_g") + F.col("x")).over(way("y", F.desc("x"))) - F.col("x")
     return df.withColumn("d", F.least(left, right)).drop("_g")
 
 
@@ -97,31 +101,64 @@ def union(*masks: DataFrame) -> DataFrame:
     return out.dropDuplicates(KEY)
 
 
-def runs(mask: DataFrame) -> DataFrame:
-    """image_id, y, x0, x1 of maximal horizontal runs."""
-    row = Window.partitionBy("image_id", "y").orderBy("x")
-    df = mask.select(*KEY).withColumn("_k", F.col("x") - F.row_number().over(row))
-    return df.groupBy("image_id", "y", "_k").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_k")
+TILE = 256
+
+
+def _label(tile: pa.Table) -> pa.Table:
+    """A tile's pixels with the first pixel, row by row, of their component inside the tile."""
+    x, y = tile["x"].to_numpy(), tile["y"].to_numpy()
+    order = np.lexsort((x, y))
+    x, y = x[order], y[order]
+    begins = np.ones(len(x), dtype=bool)
+    begins[1:] = (y[1:] != y[:-1]) | (x[1:] > x[:-1] + 1)
+    first = np.flatnonzero(begins)
+    rows, left, right = y[first].tolist(), x[first].tolist(), x[np.append(first[1:], len(x)) - 1].tolist()
+    root = list(range(len(first)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    j = 0
+    for i, row in enumerate(rows):
+        while j < len(rows) and (rows[j] <= row or (rows[j] == row + 1 and right[j] < left[i])):
+            j += 1
+        k = j
+        while k < len(rows) and rows[k] == row + 1 and left[k] <= right[i]:
+            one, other = sorted((find(i), find(k)))
+            root[other] = one
+            k += 1
+    of_run = first[[find(i) for i in range(len(first))]]
+    at = of_run[np.cumsum(begins) - 1]
+    columns = {"x": x, "y": y, "cy": y[at], "cx": x[at]}
+    return pa.table({"image_id": tile["image_id"].take(pa.array(order)), **{k: pa.array(v, tile[k[-1]].type) for k, v in columns.items()}})
 
 
 def components(mask: DataFrame) -> DataFrame:
     """image_id, x, y, cy, cx: 4-connected components, named by their first pixel row by row.
 
-    Runs are joined to the runs that they overlap in the next row, so the
-    rounds work on runs and not on pixels.
+    Tiles of a fixed size are labelled one by one; what meets at the edges of
+    tiles is joined in rounds over the tiles' components. An image may have any
+    number of tiles, and images of one tile need no rounds.
     """
-    r = written(runs(mask))
-    node = lambda p="": F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("image_id", "y", "x0")])
-    below = r.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"))
-    touch = r.join(below, ["image_id", "y"]).where("x0 <= bx1 and bx0 <= x1")
-    edges = touch.select(
-        node().alias("src"),
-        F.struct("image_id", (F.col("y") + 1).alias("y"), F.col("bx0").alias("x0")).alias("dst"),
-    )
-    edges = edges.unionAll(r.select(node().alias("src"), node().alias("dst")))
-    labels = connected_components(edges).select("node.*", F.col("component.y").alias("cy"), F.col("component.x0").alias("cx"))
-    df = r.join(labels, ["image_id", "y", "x0"])
-    return df.select("image_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "cy", "cx")
+    kinds = {c: mask.schema[c].dataType.simpleString() for c in KEY}
+    tiles = mask.select(*KEY, *[F.floor(F.col(c) / TILE).alias(f"t{c}") for c in "xy"])
+    schema = ", ".join(f"{c} {k}" for c, k in {**kinds, "cy": kinds["y"], "cx": kinds["x"]}.items())
+    own = written(tiles.groupBy("image_id", "tx", "ty").applyInArrow(_label, schema))
+    node = F.struct("image_id", F.col("cy").alias("y"), F.col("cx").alias("x"))
+    edges = None
+    for c, other in (("x", "y"), ("y", "x")):
+        far = own.where(F.pmod(c, F.lit(TILE)) == TILE - 1).select("image_id", (F.col(c) + 1).alias(c), other, node.alias("src"))
+        near = own.where(F.pmod(c, F.lit(TILE)) == 0).select("image_id", c, other, node.alias("dst"))
+        met = far.join(near, KEY).select("src", "dst")
+        edges = met if edges is None else edges.unionAll(met)
+    if not edges.limit(1).count():
+        return own
+    names = connected_components(edges).select(F.col("node.image_id"), F.col("node.y").alias("cy"), F.col("node.x").alias("cx"), "component")
+    joined = own.join(names, ["image_id", "cy", "cx"], "left")
+    return joined.select(*KEY, F.coalesce("component.y", "cy").alias("cy"), F.coalesce("component.x", "cx").alias("cx"))
 
 
 def largest_component(mask: DataFrame) -> DataFrame:
@@ -186,17 +223,31 @@ def smooth_topology(mask: DataFrame, dims: DataFrame, passes: int = 3) -> DataFr
 
 
 def prune_dead_ends(mask: DataFrame, dims: DataFrame) -> DataFrame:
-    """Drops pixels with at most one neighbour until none is left; pixels on the image's border stay."""
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+    """Drops pixels with at most one neighbour until none is left; pixels on the image's border stay.
 
-    def peel(m: DataFrame) -> DataFrame:
+    Pixels with two neighbours at most make up paths. A path with a dead end
+    goes as a whole, as its pixels would one by one; what it hung on may then
+    be the end of a longer path. Every round takes away all such paths, so that
+    rounds follow how deep branches fork and not how long they are.
+    """
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+    m = written(mask.select(*KEY))
+    while True:
         near = m.withColumn("o", steps).select("image_id", (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"))
         near = near.groupBy(*KEY).agg(F.count("*").alias("c"))
-        df = m.join(near, KEY, "left").join(dims, "image_id")
-        rim = "x = 0 or y = 0 or x = w - 1 or y = h - 1"
-        return df.where(f"coalesce(c, 0) > 1 or {rim}").select(*KEY)
-
-    return until_stable(written(mask.select(*KEY)), peel, lambda m: m.count())
+        df = m.join(near, KEY, "left").join(dims, "image_id").withColumn("c", F.coalesce("c", F.lit(0)))
+        paths = df.where("c <= 2 and x > 0 and y > 0 and x < w - 1 and y < h - 1").select(*KEY, "c")
+        ended = paths.where("c <= 1").select("image_id").distinct()
+        paths = written(paths.join(ended, "image_id", "left_semi"))
+        if not paths.limit(1).count():
+            discard(paths)
+            return m
+        parts = components(paths)
+        dead = parts.join(paths.where("c <= 1"), KEY, "left_semi").select("image_id", "cy", "cx").distinct()
+        gone = parts.join(dead, ["image_id", "cy", "cx"], "left_semi")
+        last, m = m, written(m.join(gone, KEY, "left_anti"))
+        discard(last)
+        discard(paths)
 
 
 def clean_shape(mask: DataFrame, dims: DataFrame) -> DataFrame:
@@ -219,34 +270,35 @@ def clean_each_component(mask: DataFrame, dims: DataFrame, least: int = 20) -> D
     return union(has_minimum(written(clean), least).select(F.col("image_id.owner").alias("image_id"), "x", "y"))
 
 
-def grown(mask: DataFrame, seeds: DataFrame, dims: DataFrame, least: int) -> DataFrame:
-    """Whole layers around the seeds inside the mask, up to the layer that reaches the least size."""
-    start = mask.join(seeds, KEY, "left_semi")
-    layers = _distance(dense(start, dims), F.col("inside")).join(mask, KEY, "left_semi")
-    sizes = layers.groupBy("image_id", "d").agg(F.count("*").alias("n"))
-    run = F.sum("n").over(Window.partitionBy("image_id").orderBy("d"))
-    enough = sizes.withColumn("run", run).where(F.col("run") - F.col("n") < least).select("image_id", "d")
-    return layers.join(enough, ["image_id", "d"], "left_semi").select(*KEY)
-
-
 def ensure_min_area(clean: DataFrame, raw: DataFrame, seeds: DataFrame, least: int = 20) -> DataFrame:
-    """The clean mask where it is large enough, else the raw mask's component at the seed."""
+    """The clean mask where it is large enough, else the raw mask's component at the seed.
+
+    A region that is still too small is not grown: what growing gives is only
+    used to see that it can reach the least size, and the component is what stays.
+    """
     fine = has_minimum(clean, least)
     small = raw.join(fine.select("image_id").distinct(), "image_id", "left_anti")
     return fine.unionByName(component_at(small, seeds))
 
 
-def clean_mask(mask: DataFrame, dims: DataFrame, seeds: DataFrame, keep_many: bool = False) -> DataFrame:
-    """Border stripped, cropped to its box, cleaned, and put back."""
+def clean_mask(mask: DataFrame, dims: DataFrame, seeds: DataFrame | None = None, keep_many: bool = False, least: int = 20) -> DataFrame:
+    """Border stripped, cropped to its box, cleaned, and put back.
+
+    One region is kept, the largest, and where it is too small the raw one at
+    the seed (image_id, x, y); or with ``keep_many`` every part is cleaned by
+    itself, and where too little is left of all of them the raw mask stays.
+    """
     stripped = written(strip_border(mask, dims))
-    boxes = written(bounds(stripped, dims, 2))
+    boxes = written(bounds(stripped, dims, 4))
     part, sizes = crop(stripped, boxes)
     part, sizes = written(part), written(sizes)
     if keep_many:
-        return paste(clean_each_component(part, sizes), boxes)
+        clean = has_minimum(written(clean_each_component(part, sizes, least)), least)
+        rest = part.join(clean.select("image_id").distinct(), "image_id", "left_anti")
+        return paste(clean.unionByName(rest), boxes)
     moved = seeds.join(boxes, "image_id").select("image_id", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"))
     clean = written(largest_component(clean_shape(part, sizes)))
-    return paste(ensure_min_area(clean, part, moved), boxes)
+    return paste(ensure_min_area(clean, part, moved, least), boxes)
 
 
 def carve(mask: DataFrame, dims: DataFrame, strokes: DataFrame, least: int = 9) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapelake.functions import geometry as g
-from shapelake.plans.rounds import written
+from shapelake.operators.arcs import assemble_arcs, flat_arc
+from shapelake.operators.assembly import assemble
+from shapelake.operators.assembly import click_order as _order
+from shapelake.operators.histories import latest_result, replay_history
 
-
-def _order():
-    return Window.partitionBy("session_id").orderBy("click_seq")
+__all__ = [
+    "assemble", "assemble_arcs", "assemble_splines", "circular_arc_metrics", "constrain_lines", "equation_text", "flat_arc",
+    "latest_result", "line_metrics", "parabola_metrics", "previous_area", "relative_area", "relative_length", "replay_history",
+    "sample_parabola", "shape_metrics", "triangle_metrics",
+]
 
 
 def _ops():
@@ -22,63 +26,6 @@ def _before():
     return _ops().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def assemble(clicks: DataFrame, size: int) -> DataFrame:
-    """Every ``size`` clicks of a session form one operation: session_id, op_seq, x1, y1, x2, ...; a rest is left out."""
-    n = F.row_number().over(_order()) - 1
-    df = clicks.select("session_id", "x", "y", F.floor(n / size).alias("op_seq"), (n % size + 1).alias("step"))
-    at = lambda c, k: F.max(F.when(F.col("step") == k, F.col(c))).alias(f"{c}{k}")
-    ops = df.groupBy("session_id", "op_seq").agg(F.count("*").alias("_n"), *[at(c, k) for k in range(1, size + 1) for c in ("x", "y")])
-    return ops.where(F.col("_n") == size).drop("_n")
-
-
-def flat_arc(x1, y1, x2, y2, x3, y3) -> Column:
-    """True where the bisectors of an arc hardly meet; false, not null, where the chord has no length."""
-    square = (g.col(x2) - g.col(x1)) ** 2 + (g.col(y2) - g.col(y1)) ** 2
-    twice = F.abs(g.cross(g.col(x2) - g.col(x1), g.col(y2) - g.col(y1), g.col(x3) - g.col(x1), g.col(y3) - g.col(y1)))
-    # With the third point at the height twice / chord over the chord's middle.
-    return (square > 0) & (twice / (square / 4 + twice * twice / F.nullif(square, F.lit(0.0))) <= g.EPS)
-
-
-def assemble_arcs(clicks: DataFrame) -> DataFrame:
-    """Operations of two ends and a third click: a third click that makes a flat arc is ignored, and the next one taken.
-
-    Every click is looked at as a first one: where its operation ends depends
-    on the clicks after it alone. Which of them are first clicks is then found
-    by jumps of doubling length, only in sessions that have a flat third click.
-    A session may hold any number of clicks; a rest is left out.
-    """
-    points = written(clicks.select("session_id", "x", "y", (F.row_number().over(_order()) - 1).cast("long").alias("n")))
-    ahead = lambda c, k: F.lead(c, k).over(Window.partitionBy("session_id").orderBy("n"))
-    df = points.select(
-        "session_id", "n", F.col("x").alias("x1"), F.col("y").alias("y1"), ahead("x", 1).alias("x2"), ahead("y", 1).alias("y2"),
-        ahead("x", 2).alias("x3"), ahead("y", 2).alias("y3"), (F.col("n") + 2).alias("end"),
-    )
-    third = points.select("session_id", F.col("n").alias("end"), F.col("x").alias("x3"), F.col("y").alias("y3"))
-    ends = ("x1", "y1", "x2", "y2", "x3", "y3")
-    last = points.groupBy("session_id").agg(F.max("n").alias("last"))
-    df = written(df.join(last, "session_id").where(F.col("end") <= F.col("last")).drop("last").withColumn("flat", F.coalesce(flat_arc(*ends), F.lit(False))))
-    flat = df.where("flat")
-    if not flat.limit(1).count():
-        return df.where("n % 3 = 0").select("session_id", F.floor(F.col("n") / 3).alias("op_seq"), *ends)
-    changed = written(flat.select("session_id").distinct())
-    found = df.where("not flat")
-    while flat.limit(1).count():
-        later = flat.drop("x3", "y3", "flat").withColumn("end", F.col("end") + 1).join(third, ["session_id", "end"])
-        later = written(later.withColumn("flat", F.coalesce(flat_arc(*ends), F.lit(False))).select(*df.columns))
-        found, flat = found.unionAll(later.where("not flat")), later.where("flat")
-    found = written(found)
-    jumps = written(found.join(changed, "session_id", "left_semi").select("session_id", "n", (F.col("end") + 1).alias("to")))
-    firsts = changed.select("session_id", F.lit(0).cast("long").alias("n"))
-    while jumps.limit(1).count():
-        firsts = written(firsts.unionAll(jumps.join(firsts, ["session_id", "n"], "left_semi").select("session_id", F.col("to").alias("n"))).distinct())
-        onward = jumps.select("session_id", F.col("n").alias("to"), F.col("to").alias("then"))
-        jumps = written(jumps.join(onward, ["session_id", "to"]).select("session_id", "n", F.col("then").alias("to")))
-    plain = found.join(changed, "session_id", "left_anti").where("n % 3 = 0")
-    ops = plain.unionAll(found.join(firsts, ["session_id", "n"], "left_semi").select(*plain.columns))
-    order = Window.partitionBy("session_id").orderBy("n")
-    return ops.select("session_id", (F.row_number().over(order) - 1).cast("long").alias("op_seq"), *ends)
-
-
 def assemble_splines(clicks: DataFrame, is_double: Column, least: int = 3) -> DataFrame:
     """Points up to a double click are one spline: session_id, op_seq, seq, x, y; shorter ones are dropped, as is an open end."""
     df = clicks.withColumn("_d", F.when(is_double, 1).otherwise(0))
@@ -255,49 +202,3 @@ def constrain_lines(pairs: DataFrame, mode: Column, locked: Column | float = 0.0
         F.when(free, F.col("x2")).otherwise(F.col("x1") + F.col("dx") * along).alias("x2"),
         F.when(free, F.col("y2")).otherwise(F.col("y1") + F.col("dy") * along).alias("y2"),
     )
-
-
-LOG = ["event_seq", "action", "kind", "measure"]
-REPLAY = "session_id long, op_seq long, kind string, measure double, previous double"
-
-
-def replay_rows(session_id, rows) -> list[tuple]:
-    """Surviving operations of one session's (event_seq, action, kind, measure), in order."""
-    done, undone = [], []
-    for seq, action, kind, measure in rows:
-        if action == "commit":
-            done.append((seq, kind, measure))
-            undone.clear()
-        elif action == "undo" and done:
-            undone.append(done.pop())
-        elif action == "redo" and undone:
-            done.append(undone.pop())
-    return [(session_id, *x) for x in done]
-
-
-def replay_history(op_log: DataFrame) -> DataFrame:
-    """What a session's history holds after all commits, undos and redos, each with its predecessor of the same kind.
-
-    A session's log is replayed in one piece; rows without a session are one
-    session. What lies below an operation that survives is what lay there when
-    it was committed, so the predecessor is the survivor of its kind before it.
-    """
-
-    def replay(key, log: pd.DataFrame) -> pd.DataFrame:
-        rows = log.sort_values("event_seq")[LOG].itertuples(index=False, name=None)
-        out = replay_rows(None if pd.isna(key[0]) else int(key[0]), rows)
-        return pd.DataFrame(out, columns=["session_id", "op_seq", "kind", "measure"]).astype({"session_id": "Int64"})
-
-    left = op_log.select("session_id", *LOG).groupBy("session_id").applyInPandas(replay, REPLAY.rsplit(",", 1)[0])
-    before = F.lag("measure").over(Window.partitionBy("session_id", "kind").orderBy("op_seq"))
-    return left.withColumn("previous", before)
-
-
-def latest_result(op_log: DataFrame) -> DataFrame:
-    """The top operation of each session, with zero and null where its history is empty."""
-    top = replay_history(op_log).groupBy("session_id").agg(F.max_by(F.struct("kind", "measure", "previous"), "op_seq").alias("t"))
-    every = op_log.select("session_id").distinct().alias("e").join(top.alias("t_"), F.col("e.session_id").eqNullSafe(F.col("t_.session_id")), "left")
-    return every.select(
-        "e.session_id", F.col("t.kind").alias("kind"), F.coalesce("t.measure", F.lit(0.0)).alias("measure"),
-        g.relative("t.measure", "t.previous").alias("relative"),
-    )

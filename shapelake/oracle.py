@@ -301,6 +301,43 @@ select distinct outline_id, 0::bigint line_no, case when regexp_matches(specimen
 union all select distinct outline_id, 1, 'harmonic,a,b,c,d' from b
 union all select outline_id, max(harmonic) + 2, '' from b group by 1
 union all select outline_id, harmonic + 1, concat_ws(',', harmonic, {_TEXT("a")}, {_TEXT("b")}, {_TEXT("c")}, {_TEXT("d")}) from b"""
+# Background is spread from the corner squares, and from border pixels near their quadrant's corner colour.
+_QUADRANT = lambda s: f"(case when {s}.x < 16 then 0 else 1 end + case when {s}.y < 16 then 0 else 2 end)"
+_APART = lambda a, b, k="": f"sqrt(2*({a}.r-{b}.{k}r)*({a}.r-{b}.{k}r) + 4*({a}.g-{b}.{k}g)*({a}.g-{b}.{k}g) + 3*({a}.b-{b}.{k}b)*({a}.b-{b}.{k}b))"
+_TONES = f"""{P}, {CORNERS}, th as ({THRESHOLD.replace(f"{P}, {CORNERS}, ", "")}),
+  tone as (select image_id, corner, floor(r) r, floor(g) g, floor(b) b from corner),
+  e as materialized (select p.image_id, p.x, p.y, tone.corner, {_APART("p", "tone")} away, threshold from p join tone using (image_id) join th using (image_id))"""
+
+
+def _background(share: str, name: str) -> str:
+    return f"""d{name} as (select image_id, x, y, away <= threshold * {share} ok from e where corner = {_QUADRANT("e")}),
+  {name}(image_id, x, y) as (select image_id, x, y from d{name} where least(x, 31-x) < 4 and least(y, 31-y) < 4 or ok and (x in (0, 31) or y in (0, 31))
+    union select s.image_id, s.x, s.y from {name} r join d{name} s on {_NEAR} where s.ok)"""
+
+
+BACKGROUND = f"with recursive {_TONES}, {_background('1', 'bg')}"
+RELAXED = f"""with recursive {_TONES}, {_background("0.6e0", "bg")},
+  wide(image_id, x, y) as (select * from bg union select s.image_id, s.x, s.y from wide r join e s on {_NEAR} where s.corner = {_QUADRANT("r")} and s.away <= s.threshold)
+select {XY} from wide"""
+FLOOD = f"""{BACKGROUND}, free as (select p.* from p anti join bg using (image_id, x, y)),
+  near as (select image_id, sum(r)//count(*) r, sum(g)//count(*) g, sum(b)//count(*) b from free where abs(x-16) <= 2 and abs(y-16) <= 2 group by 1),
+  own as (select p.image_id, coalesce(n.r, p.r) r, coalesce(n.g, p.g) g, coalesce(n.b, p.b) b from p left join near n using (image_id) where x = 16 and y = 16),
+  k as materialized (select free.*, {_APART("free", "own")} away from free join own using (image_id)),
+  fl(image_id, x, y, r, g, b) as (select image_id, x, y, r, g, b from p where x = 16 and y = 16 union
+    select s.image_id, s.x, s.y, s.r, s.g, s.b from fl r join k s on {_NEAR} where s.away <= 30 or s.away <= 150 and {_APART("s", "r")} <= 15)
+select distinct {XY} from fl"""
+PEAK = f"""{BACKGROUND}, z as (select image_id, x, y from bg union select image_id, x, y from p where x in (0, 31) or y in (0, 31)),
+  f as (select p.image_id, p.x, p.y, min(abs(p.x-z.x) + abs(p.y-z.y)) d from p anti join bg using (image_id, x, y) join z using (image_id)
+    where (p.x-16)*(p.x-16) + (p.y-16)*(p.y-16) <= 225 group by 1, 2, 3),
+  top as (select image_id, x, y from f qualify row_number() over (partition by image_id order by d desc, (x = 16 and y = 16) desc, y, x) = 1)
+select s_suppkey image_id, coalesce(x, 16)::bigint px, coalesce(y, 16)::bigint py from supplier left join top on image_id = s_suppkey"""
+# All dead ends of a list of cells go at once, again and again.
+_SIDE = lambda k: f"list_contains(l, c{k})::int"
+PRUNED = f"""with recursive {M}, s as (select image_id, list(y*32+x) l from m where inside group by 1),
+  r as (select image_id, l, 0 i from s union all select image_id, n, i + 1 from (select *, list_filter(l, lambda c:
+    c%32 in (0, 31) or c//32 in (0, 31) or {_SIDE("-1")} + {_SIDE("+1")} + {_SIDE("-32")} + {_SIDE("+32")} >= 2) n from r) where len(n) < len(l)),
+  u as (select image_id, unnest(l) c from (select image_id, arg_max(l, i) l from r group by 1))
+select image_id, (c%32)::bigint x, (c//32)::bigint y from u"""
 CANVAS = f"""select image_id, trunc((x - s_suppkey % 5) / (1 + s_suppkey % 3))::bigint x, trunc((y - s_suppkey % 7) / (1 + s_suppkey % 3))::bigint y
 from (select session_id image_id, x, y from ({t.CLICKS})) join supplier on s_suppkey = image_id"""
 
@@ -353,6 +390,11 @@ ORACLE_SQL: dict[str, str] = {
     "efd_csv_lines": CSV,
     "replay_history": f"with recursive {REPLAYED} select * from rp",
     "latest_result": _rounded(LATEST, "measure relative", 4),
+    "background_mask": f"{BACKGROUND} select {XY} from bg",
+    "background_mask_relaxed": RELAXED,
+    "flood_fill": FLOOD,
+    "interior_peak": PEAK,
+    "prune_dead_ends": PRUNED,
     "carve": CARVED,
     "image_to_pixel": f"select * from ({CANVAS}) where x between 0 and 319 and y between 0 and 319",
 }

@@ -7,14 +7,79 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from shapelake.operators.sessions import REPLAY
+REPLAY = "session_id long, op_seq long, kind string, measure double, previous double"
+CHANGES = "session_id long, event_seq long, change string, place long, op_seq long, kind string, measure double, previous double"
+
+
+class History(StatefulProcessor):
+    """A session's list of entries, its cursor, and of each kind the topmost entry under the cursor.
+
+    An entry knows its place and that of the entry of its kind below, so that
+    every event reads and writes a few values, whatever the history's length.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "cursor long, length long")
+        self.entries = handle.getMapState("entries", "place long", "op_seq long, kind string, measure double, below long")
+        self.tops = handle.getMapState("tops", "kind string", "place long")
+
+    @staticmethod
+    def _key(kind: str | None) -> tuple[str]:
+        return ("" if kind is None else f"={kind}",)
+
+    def _put_top(self, kind: str | None, place: int | None) -> None:
+        if place is None:
+            self.tops.removeKey(self._key(kind))
+        else:
+            self.tops.updateValue(self._key(kind), (place,))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        cursor, length = self.at.get() if self.at.exists() else (0, 0)
+        for event in sorted(rows, key=lambda r: r.event_seq):
+            if event.action == "commit":
+                below = self.tops.getValue(self._key(event.kind)) if self.tops.containsKey(self._key(event.kind)) else None
+                place, entry = cursor, (event.event_seq, event.kind, event.measure, below[0] if below else None)
+                self.entries.updateValue((place,), entry)
+                self._put_top(event.kind, place)
+                cursor = length = cursor + 1
+            elif event.action == "undo" and cursor:
+                cursor = place = cursor - 1
+                entry = self.entries.getValue((place,))
+                self._put_top(entry[1], entry[3])
+            elif event.action == "redo" and cursor < length:
+                place, cursor = cursor, cursor + 1
+                entry = self.entries.getValue((place,))
+                self._put_top(entry[1], place)
+            else:
+                continue
+            previous = None if entry[3] is None else self.entries.getValue((entry[3],))[2]
+            yield Row(session_id=key[0], event_seq=event.event_seq, change=event.action, place=place, op_seq=entry[0], kind=entry[1], measure=entry[2], previous=previous)
+        self.at.update((cursor, length))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_changes(op_log: DataFrame) -> DataFrame:
+    """One row for each event that changes a history: which entry it puts at which place (commit, redo) or takes away (undo).
+
+    Events of a session are taken in the order of event_seq within a batch; a
+    later batch holds later events. Kept up to date by place, with what lies at
+    or above a commit's place cut off and an undo's place taken away, the rows
+    are what ``replay_history`` gives. Needs the RocksDB state store.
+    """
+    log = op_log.select("session_id", "event_seq", "action", "kind", "measure")
+    return log.groupBy("session_id").transformWithState(History(), CHANGES, "Append", "None")
 
 
 def stream_histories(op_log: DataFrame) -> DataFrame:
-    """For each session and batch, the history after it, as ``replay_history`` gives it, with the batch's last event.
+    """For each session and batch, the whole history after it, as ``replay_history`` gives it, with the batch's last event.
+
+    For short histories, as each batch reads and emits all of it; see ``stream_changes`` for long ones.
 
     Events of a session are taken in the order of event_seq within a batch; a
     later batch holds later events.
