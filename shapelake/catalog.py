@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapelake import oracle
+from shapelake.functions import geometry
 from shapelake.operators import fourier, masks, outline_building, outline_metrics, pixels, regions, sessions, splines
-from shapelake.plans.rounds import written
-from shapelake.sources import reports, tables
+from shapelake.plans.rounds import shared_folder, written
+from shapelake.sources import images, reports, tables
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -180,6 +182,59 @@ def _csv_lines(spark, sf_dir):
     return rounded(reports.efd_csv_lines(reports.bank_specimens(efd, _named(spark, sf_dir))))
 
 
+def _round_trip(spark, sf_dir):
+    """Descriptors in full, written as CSV blocks to the shared folder and read again."""
+    banked = reports.bank_specimens(fourier.efd_normalized(_efd(spark, sf_dir)), _named(spark, sf_dir))
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    reports.write_efd_csv(written(reports.efd_csv_lines(banked)), path)
+    return reports.read_efd_csv(spark, path)
+
+
+def _read(spark, sf_dir):
+    """Pixels of image files: the rasters written as files to the shared folder and read again."""
+    path = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    images.write_images(tables.pixels(spark, sf_dir), path)
+    found = images.read_images(spark, path)
+    named = found.withColumn("image_id", F.regexp_extract("origin", "([0-9]+)[.]bmp$", 1).cast("long"))
+    return images.explode_pixels(named)
+
+
+def _nearest(spark, sf_dir):
+    """The vertex of each user's outline that lies nearest to each of their clicks, in the outline's scale."""
+    at = tables.clicks(spark, sf_dir).select(
+        (F.col("session_id") * 1_000_000 + F.col("click_seq")).cast("long").alias("point_id"), F.col("session_id").alias("outline_id"),
+        (F.col("x") / 10 - 5).alias("px"), (F.col("y") / 10 - 5).alias("py"),
+    )
+    return outline_metrics.nearest_vertex(at, tables.outlines(spark, sf_dir))
+
+
+def _targets(spark, sf_dir):
+    """Pixels of a percentage, and the percentage of a number, for images of p_size thousand pixels."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    count, percent = (F.col("p_size") * 1000).cast("long"), F.col("p_retailprice").cast("double") / 15 - 5
+    pixels_, share = geometry.target_pixels(count, percent), geometry.target_percent(count, F.col("p_partkey").cast("long") * 13 - 50)
+    return parts.select(F.col("p_partkey").cast("long").alias("image_id"), pixels_.alias("pixels"), share.alias("percent"))
+
+
+def _locked(spark, sf_dir):
+    """Angles typed by hand: what is no number is 0."""
+    typed = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.regexp_extract("props", "([0-9]+)", 1))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.col("event_id").cast("long").alias("event_id"), geometry.locked_angle(typed).alias("angle"))
+
+
+def _clamped(spark, sf_dir):
+    asked = F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey") % 130 - 10).cast("int")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("customer"), fourier.harmonic_clamp(asked).alias("harmonics"))
+
+
+def _directions(spark, sf_dir):
+    """Directions of lines that pairs of clicks span, and the longer over the shorter of their extents."""
+    dx, dy = geometry.line_direction("x1", "y1", "x2", "y2")
+    aspect = geometry.aspect_ratio(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    return _pairs(spark, sf_dir).select("session_id", "op_seq", dx.alias("dx"), dy.alias("dy"), aspect.alias("aspect"))
+
+
 def _summary(spark, sf_dir):
     # Rounded first: a zero's sign is noise.
     efd = rounded(fourier.efd_normalized(_efd(spark, sf_dir)), 4)
@@ -252,6 +307,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "specimen_names": _named,
     "efd_csv_lines": _csv_lines,
     "metadata_summary": _summary,
+    "read_images": lambda s, d: rounded(_read(s, d)),
+    "efd_csv_round_trip": lambda s, d: rounded(_round_trip(s, d)),
+    "nearest_vertex": lambda s, d: rounded(_nearest(s, d)),
+    "target_pixels": lambda s, d: rounded(_targets(s, d)),
+    "locked_angle": lambda s, d: rounded(_locked(s, d)),
+    "harmonic_clamp": lambda s, d: rounded(_clamped(s, d)),
+    "line_direction": lambda s, d: rounded(_directions(s, d)),
     "replay_history": lambda s, d: sessions.replay_history(tables.op_log(s, d)),
     "latest_result": lambda s, d: rounded(sessions.latest_result(tables.op_log(s, d)), 4),
 }

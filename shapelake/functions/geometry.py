@@ -152,3 +152,8 @@ def target_pixels(count, percent) -> Column:
     """Pixels that a percentage stands for; both are clamped."""
     share = F.greatest(F.lit(0.001), F.least(F.lit(100.0), col(percent)))
     return F.greatest(F.lit(1), F.least(col(count), F.rint(col(count) * share / 100.0).cast("long"))).cast("long")
+
+
+def target_percent(count, pixels) -> Column:
+    """Share of pixels that a number stands for, clamped to 1 and to all, in percent with two digits."""
+    return half_even(F.greatest(F.lit(1), F.least(col(count), col(pixels))) / col(count) * 100.0, 2)

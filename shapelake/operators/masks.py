@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapelake.plans.rounds import connected_components, discard, written
+from shapelake.plans.tiles import TILE, Square, over_tiles, tiled
 
 KEY = ["image_id", "x", "y"]
 FAR = 1 << 29
@@ -51,12 +52,22 @@ def dilate(mask: DataFrame, dims: DataFrame, radius: int) -> DataFrame:
     return _distance(dense(mask, dims), F.col("inside")).where(F.col("d") <= radius).select(*KEY)
 
 
+#: Up to this radius a tile's rim is small beside the tile.
+NEAR = 32
+
+
 def opened(mask: DataFrame, dims: DataFrame, radius: int) -> DataFrame:
-    return dilate(erode(mask, dims, radius), dims, radius)
+    """Eroded and dilated; in one pass over tiles where the radius is small."""
+    if radius > NEAR:
+        return dilate(erode(mask, dims, radius), dims, radius)
+    return over_tiles(mask, dims, 2 * radius, lambda m, *_: _grown(~_grown(~m, radius), radius))
 
 
 def closed(mask: DataFrame, dims: DataFrame, radius: int) -> DataFrame:
-    return erode(dilate(mask, dims, radius), dims, radius)
+    """Dilated and eroded; in one pass over tiles where the radius is small."""
+    if radius > NEAR:
+        return erode(dilate(mask, dims, radius), dims, radius)
+    return over_tiles(mask, dims, 2 * radius, lambda m, *_: ~_grown(~_grown(m, radius), radius))
 
 
 def area(mask: DataFrame) -> DataFrame:
@@ -101,9 +112,6 @@ def union(*masks: DataFrame) -> DataFrame:
     return out.dropDuplicates(KEY)
 
 
-TILE = 256
-
-
 def _label(tile: pa.Table) -> pa.Table:
     """A tile's pixels with the first pixel, row by row, of their component inside the tile."""
     x, y = tile["x"].to_numpy(), tile["y"].to_numpy()
@@ -136,7 +144,7 @@ def _label(tile: pa.Table) -> pa.Table:
     return pa.table({"image_id": tile["image_id"].take(pa.array(order)), **{k: pa.array(v, tile[k[-1]].type) for k, v in columns.items()}})
 
 
-def components(mask: DataFrame) -> DataFrame:
+def components(mask: DataFrame, size: int = TILE) -> DataFrame:
     """image_id, x, y, cy, cx: 4-connected components, named by their first pixel row by row.
 
     Tiles of a fixed size are labelled one by one; what meets at the edges of
@@ -144,14 +152,14 @@ def components(mask: DataFrame) -> DataFrame:
     number of tiles, and images of one tile need no rounds.
     """
     kinds = {c: mask.schema[c].dataType.simpleString() for c in KEY}
-    tiles = mask.select(*KEY, *[F.floor(F.col(c) / TILE).alias(f"t{c}") for c in "xy"])
+    tiles = tiled(mask.select(*KEY), 0, size)
     schema = ", ".join(f"{c} {k}" for c, k in {**kinds, "cy": kinds["y"], "cx": kinds["x"]}.items())
     own = written(tiles.groupBy("image_id", "tx", "ty").applyInArrow(_label, schema))
     node = F.struct("image_id", F.col("cy").alias("y"), F.col("cx").alias("x"))
     edges = None
     for c, other in (("x", "y"), ("y", "x")):
-        far = own.where(F.pmod(c, F.lit(TILE)) == TILE - 1).select("image_id", (F.col(c) + 1).alias(c), other, node.alias("src"))
-        near = own.where(F.pmod(c, F.lit(TILE)) == 0).select("image_id", c, other, node.alias("dst"))
+        far = own.where(F.pmod(c, F.lit(size)) == size - 1).select("image_id", (F.col(c) + 1).alias(c), other, node.alias("src"))
+        near = own.where(F.pmod(c, F.lit(size)) == 0).select("image_id", c, other, node.alias("dst"))
         met = far.join(near, KEY).select("src", "dst")
         edges = met if edges is None else edges.unionAll(met)
     if not edges.limit(1).count():
@@ -177,13 +185,17 @@ def component_at(mask: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def fill_holes(mask: DataFrame, dims: DataFrame) -> DataFrame:
-    """Adds what is outside but not reachable from the image's border."""
-    outside = components(grid(dims).select(*KEY).join(mask, KEY, "left_anti"))
-    outside = outside.join(dims, "image_id")
-    rim = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("w") - 1) | (F.col("y") == F.col("h") - 1)
-    open_ = outside.where(rim).select("image_id", "cy", "cx").distinct()
-    holes = outside.join(open_, ["image_id", "cy", "cx"], "left_anti")
-    return mask.select(*KEY).unionByName(holes.select(*KEY))
+    """Adds what is outside but not reachable from the image's border.
+
+    What lies around the mask's box is reachable, so only the box with a rim of
+    one pixel is looked at.
+    """
+    boxes = bounds(mask, dims, 1).join(mask.select("image_id").distinct(), "image_id", "left_semi")
+    cells = boxes.withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1")))
+    outside = components(cells.select(*KEY).join(mask, KEY, "left_anti")).join(boxes, "image_id")
+    rim = (F.col("x") == F.col("x0")) | (F.col("y") == F.col("y0")) | (F.col("x") == F.col("x1")) | (F.col("y") == F.col("y1"))
+    holes = outside.groupBy("image_id", "cy", "cx").agg(F.max(rim).alias("open")).where("not open")
+    return mask.select(*KEY).unionByName(outside.join(holes, ["image_id", "cy", "cx"], "left_semi").select(*KEY))
 
 
 def enforce_corridor(mask: DataFrame, dims: DataFrame, width: int = 3) -> DataFrame:
@@ -225,6 +237,15 @@ def smooth_topology(mask: DataFrame, dims: DataFrame, passes: int = 3) -> DataFr
 def prune_dead_ends(mask: DataFrame, dims: DataFrame) -> DataFrame:
     """Drops pixels with at most one neighbour until none is left; pixels on the image's border stay.
 
+    Tiles are pruned one by one, with the pixels around a tile taken to stay.
+    What then still ends somewhere crosses tiles, and ``prune_paths`` takes it.
+    """
+    return prune_paths(over_tiles(mask, dims, 1, _pruned), dims)
+
+
+def prune_paths(mask: DataFrame, dims: DataFrame) -> DataFrame:
+    """Drops dead ends by whole paths.
+
     Pixels with two neighbours at most make up paths. A path with a dead end
     goes as a whole, as its pixels would one by one; what it hung on may then
     be the end of a longer path. Every round takes away all such paths, so that
@@ -237,11 +258,10 @@ def prune_dead_ends(mask: DataFrame, dims: DataFrame) -> DataFrame:
         near = near.groupBy(*KEY).agg(F.count("*").alias("c"))
         df = m.join(near, KEY, "left").join(dims, "image_id").withColumn("c", F.coalesce("c", F.lit(0)))
         paths = df.where("c <= 2 and x > 0 and y > 0 and x < w - 1 and y < h - 1").select(*KEY, "c")
+        if not paths.where("c <= 1").limit(1).count():
+            return m
         ended = paths.where("c <= 1").select("image_id").distinct()
         paths = written(paths.join(ended, "image_id", "left_semi"))
-        if not paths.limit(1).count():
-            discard(paths)
-            return m
         parts = components(paths)
         dead = parts.join(paths.where("c <= 1"), KEY, "left_semi").select("image_id", "cy", "cx").distinct()
         gone = parts.join(dead, ["image_id", "cy", "cx"], "left_semi")
@@ -250,11 +270,88 @@ def prune_dead_ends(mask: DataFrame, dims: DataFrame) -> DataFrame:
         discard(paths)
 
 
-def clean_shape(mask: DataFrame, dims: DataFrame) -> DataFrame:
-    """Fills holes, opens by 2, closes by 1, enforces the corridor, smooths the topology, prunes dead ends."""
-    m = opened(written(fill_holes(mask, dims)), dims, 2)
-    m = enforce_corridor(written(closed(m, dims, 1)), dims)
-    return prune_dead_ends(smooth_topology(written(m), dims), dims)
+def _shifted(m: np.ndarray, dx: int, dy: int) -> np.ndarray:
+    """What lies so far from each pixel, false beyond the edge."""
+    out, (h, w) = np.zeros_like(m), m.shape
+    if h > abs(dy) and w > abs(dx):
+        out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = m[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
+    return out
+
+
+FOUR = ((0, -1), (1, 0), (0, 1), (-1, 0))
+
+
+def _grown(m: np.ndarray, radius: int) -> np.ndarray:
+    for _ in range(radius):
+        m = m | np.any([_shifted(m, *d) for d in FOUR], axis=0)
+    return m
+
+
+def _smoothed(m: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """One pass of ``smooth_topology``."""
+    (n, e, s, w), corners = (_shifted(m, *d) for d in FOUR), {d: _shifted(m, *d) for d in ((1, -1), (1, 1), (-1, 1), (-1, -1))}
+    ne, se, sw, nw = corners.values()
+    alone, junction = ~(n | e | s | w), n.astype(int) + e + s + w >= 3
+    rules = [(n & e & ~ne, (1, -1)), (e & s & ~se, (1, 1)), (s & w & ~sw, (-1, 1)), (w & n & ~nw, (-1, -1)), (alone & (ne & sw | nw & se), (0, -1))]
+    rules += [(junction & ~corners[d], d) for d in ((1, -1), (-1, -1), (1, 1), (-1, 1))]
+    out, free = m.copy(), m & inner
+    for rule, (dx, dy) in rules:
+        out |= _shifted(free & rule, -dx, -dy)
+        free = free & ~rule
+    return out
+
+
+def _pruned(m: np.ndarray, square: Square, w: int, h: int) -> np.ndarray:
+    """Own pixels without dead ends; the rim stays, as does the image's border."""
+    m, free = m.copy(), square.own_only(_inner(m.shape, square, w, h))
+    while True:
+        ends = m & free & (sum(_shifted(m, *d).astype(np.int8) for d in FOUR) <= 1)
+        if not ends.any():
+            return m
+        m[ends] = False
+        if ends.sum() < 64:  # a few long paths are followed one by one
+            _follow(m, free, ends)
+
+
+def _follow(m: np.ndarray, free: np.ndarray, ends: np.ndarray) -> None:
+    h, w = m.shape
+    stack = [(y + b, x + a) for y, x in zip(*map(np.ndarray.tolist, np.nonzero(ends)), strict=True) for a, b in FOUR]
+    while stack:
+        y, x = stack.pop()
+        if 0 <= y < h and 0 <= x < w and m[y, x] and free[y, x]:
+            near = [(y + b, x + a) for a, b in FOUR]
+            if sum(0 <= p < h and 0 <= q < w and bool(m[p, q]) for p, q in near) <= 1:
+                m[y, x] = False
+                stack += near
+
+
+def _inner(shape: tuple, square: Square, w: int, h: int) -> np.ndarray:
+    """True off the image's border."""
+    y, x = np.ogrid[square.y0 : square.y0 + shape[0], square.x0 : square.x0 + shape[1]]
+    return (x > 0) & (y > 0) & (x < w - 1) & (y < h - 1)
+
+
+def clean_shape(mask: DataFrame, dims: DataFrame, opening: int = 2, closing: int = 1, width: int = 3, passes: int = 3) -> DataFrame:
+    """Fills holes, opens by 2, closes by 1, enforces the corridor, smooths the topology, prunes dead ends.
+
+    All but the first and the end of the last step look at bounded
+    neighbourhoods, so that one pass over tiles with a rim as wide as all of
+    them takes the place of one pass for each.
+    """
+    least = max(1, (width + 1) // 2)
+    rim = 2 * opening + 2 * closing + least + 2 * passes + 1
+
+    def change(m: np.ndarray, square: Square, w: int, h: int) -> np.ndarray:
+        m = _grown(~_grown(~m, opening), opening)
+        m = ~_grown(~_grown(m, closing), closing)
+        thin = m & _grown(~m, least - 1)
+        m = m & ~np.any([_shifted(thin, *d) for d in FOUR], axis=0)
+        inner = _inner(m.shape, square, w, h)
+        for _ in range(passes):
+            m = _smoothed(m, inner)
+        return _pruned(m, square, w, h)
+
+    return prune_paths(over_tiles(written(fill_holes(mask, dims)), dims, rim, change), dims)
 
 
 def clean_each_component(mask: DataFrame, dims: DataFrame, least: int = 20) -> DataFrame:
@@ -291,7 +388,6 @@ def clean_mask(mask: DataFrame, dims: DataFrame, seeds: DataFrame | None = None,
     stripped = written(strip_border(mask, dims))
     boxes = written(bounds(stripped, dims, 4))
     part, sizes = crop(stripped, boxes)
-    part, sizes = written(part), written(sizes)
     if keep_many:
         clean = has_minimum(written(clean_each_component(part, sizes, least)), least)
         rest = part.join(clean.select("image_id").distinct(), "image_id", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapelake.functions import geometry as g
+from shapelake.plans.rounds import written
 
 
 def _by():
@@ -93,26 +94,64 @@ def shape_metrics(outlines: DataFrame) -> DataFrame:
     )
 
 
-def self_intersections(outlines: DataFrame, bins: int = 16) -> DataFrame:
-    """outline_id and intersects: whether two edges that are not neighbours cross strictly.
+#: A cell with more edges is cut into SPLITS by SPLITS, LEVELS times at most: edges through one point stay together.
+CROWD, SPLITS, LEVELS = 48, 8, 8
 
-    Edges meet only in the cells of a coarse grid over their outline, so that
-    an outline's pairs stay near the number of its edges.
+
+def _covered(edges: DataFrame, cells: Column) -> DataFrame:
+    """Edges in the cells that they run through, of a grid of so many cells each way over the box bx, by, bw, bh.
+
+    An edge is cut by the columns of the grid, and lists the rows that each
+    piece spans; cx and cy count from the whole outline's first cell, ix and iy.
+    """
+    df = edges.withColumn("m", cells).withColumns({"cw": F.col("bw") / F.col("m"), "ch": F.col("bh") / F.col("m")})
+    x0, x1 = F.least("x", "nx"), F.greatest("x", "nx")
+    place = lambda v, low, side: F.greatest(F.lit(0), F.least(F.col("m") - 1, F.floor((v - F.col(low)) / F.col(side)))).cast("long")
+    df = df.where((x1 >= F.col("bx")) & (x0 <= F.col("bx") + F.col("bw")))
+    df = df.withColumn("i", F.explode(F.sequence(place(x0, "bx", "cw"), place(x1, "bx", "cw"))))
+    left = F.col("bx") + F.col("i") * F.col("cw")
+    at = lambda v: F.col("y") + (v - F.col("x")) / (F.col("nx") - F.col("x")) * (F.col("ny") - F.col("y"))
+    ends = [F.when(F.col("nx") == F.col("x"), F.col(c)).otherwise(at(v)) for c, v in (("y", F.greatest(x0, left)), ("ny", F.least(x1, left + F.col("cw"))))]
+    room = F.col("ch") * 1e-6
+    df = df.withColumns({"lo": F.least(*ends) - room, "hi": F.greatest(*ends) + room})
+    df = df.where((F.col("hi") >= F.col("by")) & (F.col("lo") <= F.col("by") + F.col("bh")))
+    df = df.withColumn("j", F.explode(F.sequence(place(F.col("lo"), "by", "ch"), place(F.col("hi"), "by", "ch"))))
+    return df.select(
+        "outline_id", "k", "n", "x", "y", "nx", "ny", (F.col("ix") * F.col("m") + F.col("i")).alias("ix"), (F.col("iy") * F.col("m") + F.col("j")).alias("iy"),
+        (F.col("bx") + F.col("i") * F.col("cw")).alias("bx"), (F.col("by") + F.col("j") * F.col("ch")).alias("by"), F.col("cw").alias("bw"), F.col("ch").alias("bh"),
+    )
+
+
+def crossing_candidates(outlines: DataFrame) -> DataFrame:
+    """Pairs of edges of an outline that share a cell and are no neighbours: outline_id, k, n, x, y, nx, ny and k2, x2, ...
+
+    The grid has about as many cells as the outline has edges; cells that many
+    edges run through are cut again, as often as it takes.
     """
     df = with_neighbours(outlines).withColumn("k", F.row_number().over(_by()) - 1)
     size = Window.partitionBy("outline_id")
+    extent = lambda c: F.greatest(F.max(c).over(size) - F.min(c).over(size), F.lit(1e-9))
     df = df.withColumns({
-        "n": F.count("*").over(size), "x0": F.min("x").over(size), "y0": F.min("y").over(size),
-        "w": F.greatest(F.max("x").over(size) - F.min("x").over(size), F.lit(1e-9)) / bins,
-        "h": F.greatest(F.max("y").over(size) - F.min("y").over(size), F.lit(1e-9)) / bins,
+        "n": F.count("*").over(size), "bx": F.min("x").over(size), "by": F.min("y").over(size), "bw": extent("x"), "bh": extent("y"),
+        "ix": F.lit(0).cast("long"), "iy": F.lit(0).cast("long"),
     })
-    cell = lambda c, o, s: F.floor((c - F.col(o)) / F.col(s)).cast("int")
-    low, high = F.least, F.greatest
-    cells = lambda a, b, o, s: F.explode(F.sequence(cell(low(a, b), o, s), cell(high(a, b), o, s)))
-    e = df.withColumn("cx", cells(F.col("x"), F.col("nx"), "x0", "w")).withColumn("cy", cells(F.col("y"), F.col("ny"), "y0", "h"))
-    e = e.select("outline_id", "cx", "cy", "k", "n", "x", "y", "nx", "ny")
-    o = e.select("outline_id", "cx", "cy", *[F.col(c).alias(f"{c}2") for c in ("k", "x", "y", "nx", "ny")])
-    pair = e.join(o, ["outline_id", "cx", "cy"]).where("k2 > k + 1 and not (k = 0 and k2 = n - 1)")
+    cells, key, pairs = written(_covered(df, F.ceil(F.sqrt("n")).cast("long"))), ["outline_id", "ix", "iy"], None
+    for level in range(LEVELS + 1):
+        crowded = cells.groupBy(*key).agg(F.count("*").alias("edges")).where(F.col("edges") > CROWD) if level < LEVELS else None
+        more = crowded is not None and crowded.limit(1).count() > 0
+        e = cells.join(crowded, key, "left_anti") if more else cells
+        o = e.select(*key, *[F.col(c).alias(f"{c}2") for c in ("k", "x", "y", "nx", "ny")])
+        met = e.join(o, key).where("k2 > k + 1 and not (k = 0 and k2 = n - 1)")
+        pairs = met if pairs is None else pairs.unionByName(met)
+        if not more:
+            return pairs
+        cells = written(_covered(cells.join(crowded, key, "left_semi"), F.lit(SPLITS).cast("long")))
+    return pairs
+
+
+def self_intersections(outlines: DataFrame) -> DataFrame:
+    """outline_id and intersects: whether two edges that are not neighbours cross strictly."""
+    pair = crossing_candidates(outlines)
     side = lambda ax, ay, bx, by, px, py: g.cross(F.col(bx) - F.col(ax), F.col(by) - F.col(ay), F.col(px) - F.col(ax), F.col(py) - F.col(ay))
     hit = (side("x", "y", "nx", "ny", "x2", "y2") * side("x", "y", "nx", "ny", "nx2", "ny2") < 0) & (
         side("x2", "y2", "nx2", "ny2", "x", "y") * side("x2", "y2", "nx2", "ny2", "nx", "ny") < 0
@@ -159,11 +198,36 @@ def smooth(outlines: DataFrame, passes: int, spacing: float = 4.0) -> DataFrame:
     )
 
 
-def nearest_vertex(points: DataFrame, outlines: DataFrame) -> DataFrame:
-    """Adds to points (point_id, outline_id, px, py) the seq of the closest vertex."""
+def nearest_vertex(points: DataFrame, outlines: DataFrame, fan: int = 64) -> DataFrame:
+    """point_id, outline_id, seq and distance of the closest vertex to points (point_id, outline_id, px, py), the first of equals.
+
+    Vertices lie in boxes of ``fan`` neighbours, and those in boxes again. From
+    the top level down, a point keeps the boxes that are no farther than the
+    far side of its nearest one, and opens them. Points without coordinates, or
+    whose outline has no vertex, have no row.
+    """
+    v = outlines.where("x is not null and y is not null")
+    v = written(v.select("outline_id", "seq", "x", "y", (F.row_number().over(_by()) - 1).cast("long").alias("idx")))
+    most, levels = v.agg(F.max("idx")).first()[0] or 0, []
+    nodes = v.select("outline_id", "idx", F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))
+    while most >= fan:
+        most //= fan
+        up = nodes.groupBy("outline_id", F.floor(F.col("idx") / fan).alias("idx"))
+        nodes = written(up.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")))
+        levels.append(nodes)
+    beyond = lambda p, low, high: F.greatest(F.col(low) - F.col(p), F.col(p) - F.col(high), F.lit(0.0))
+    across = lambda p, low, high: F.greatest(F.abs(F.col(p) - F.col(low)), F.abs(F.col(p) - F.col(high)))
+    near, far = (F.sqrt(f("px", "x0", "x1") ** 2 + f("py", "y0", "y1") ** 2) for f in (beyond, across))
+    kept = points.where("px is not null and py is not null").select("point_id", "outline_id", "px", "py", F.lit(0).cast("long").alias("up"))
+    for nodes in reversed(levels):
+        below = nodes.withColumn("up", F.floor(F.col("idx") / fan))
+        opened = kept.join(below, ["outline_id", "up"]).withColumns({"near": near, "far": far})
+        least = F.min("far").over(Window.partitionBy("point_id", "outline_id"))
+        kept = opened.withColumn("least", least).where(F.col("near") <= F.col("least") * (1 + 1e-12))
+        kept = written(kept.select("point_id", "outline_id", "px", "py", F.col("idx").alias("up")))
     d = g.distance("px", "py", "x", "y")
-    near = points.join(outlines, "outline_id").groupBy("point_id", "outline_id")
-    return near.agg(F.min_by("seq", F.struct(d, "seq")).alias("seq"), F.min(d).alias("distance"))
+    found = kept.join(v.withColumn("up", F.floor(F.col("idx") / fan)), ["outline_id", "up"]).groupBy("point_id", "outline_id")
+    return found.agg(F.min_by("seq", F.struct(d, "seq")).alias("seq"), F.min(d).alias("distance"))
 
 
 def pack(outlines: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapelake.functions import geometry as g
-from shapelake.plans.rounds import until_stable, written
+from shapelake.plans.rounds import discard, written
 
 
 def _by():
@@ -88,57 +92,108 @@ def spline_metrics(dense: DataFrame, control: DataFrame) -> DataFrame:
     )
 
 
-def simplify(lines: DataFrame, eps: float = 1.5) -> DataFrame:
+def simplify(lines: DataFrame, eps: float = 1.5, at_once: int = 16_384) -> DataFrame:
     """Points that stay when a segment is split at its farthest point, the first of equals, while that is beyond eps.
 
-    All segments of all lines are split at once, so that the number of rounds
-    is the depth of the splitting and not the number of points.
+    Every point carries the ends of its segment. Segments of more than
+    ``at_once`` points are split in rounds, all at once; smaller ones are split
+    to the end where they lie, many in a task, however deep that goes.
     """
     df = lines.select("line_id", "seq", "x", "y")
-    ends = df.groupBy("line_id").agg(F.min("seq").alias("a"), F.max("seq").alias("b"))
-    df = df.join(ends, "line_id").withColumns({"kept": (F.col("seq") == F.col("a")) | (F.col("seq") == F.col("b"))})
-    df = written(df.select("line_id", "seq", "x", "y", "kept"))
-    before = Window.partitionBy("line_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("line_id").orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
-    point = F.when(F.col("kept"), F.struct("seq", "x", "y"))
-
-    def split(state: DataFrame) -> DataFrame:
-        s = state.withColumns({"l": F.last(point, ignorenulls=True).over(before), "r": F.first(point, ignorenulls=True).over(after)})
-        s = s.withColumn("d", F.when(F.col("kept"), 0.0).otherwise(g.point_segment_distance("x", "y", "l.x", "l.y", "r.x", "r.y")))
-        inside = Window.partitionBy("line_id", "l.seq")
-        far = F.max(F.when(F.col("d") > eps, F.struct("d", -F.col("seq")))).over(inside)
-        s = s.withColumn("far", -far["col2"])
-        return s.select("line_id", "seq", "x", "y", (F.col("kept") | F.coalesce(F.col("far") == F.col("seq"), F.lit(False))).alias("kept"))
-
-    state = until_stable(df, split, lambda s: s.where("kept").count())
-    return state.where("kept").select("line_id", "seq", "x", "y")
+    point = F.struct("seq", "x", "y")
+    ends = df.groupBy("line_id").agg(F.min_by(point, "seq").alias("l"), F.max_by(point, "seq").alias("r"))
+    last = F.col("seq") == F.col("r.seq")  # a segment holds its first point, and the last point of a line is one of its own
+    state = df.join(ends, "line_id").withColumn("l", F.when(last, point).otherwise(F.col("l")))
+    state = written(state.select("line_id", "seq", "x", "y", "l", "r"))
+    far = F.max(F.struct(g.point_segment_distance("x", "y", "l.x", "l.y", "r.x", "r.y").alias("d"), (-F.col("seq")).alias("m"), "x", "y")).alias("far")
+    while True:
+        big = state.groupBy("line_id", F.col("l.seq").alias("a")).agg(F.count("*").alias("n"), far).where(F.col("n") > at_once)
+        big = written(big.select("line_id", "a", F.col("far.d").alias("d"), F.struct((-F.col("far.m")).alias("seq"), "far.x", "far.y").alias("p")))
+        if not big.limit(1).count():
+            break
+        s = state.withColumn("a", F.col("l.seq")).join(big, ["line_id", "a"], "left")
+        split = F.coalesce(F.col("d") > eps, F.lit(False))
+        closed = F.col("d").isNotNull() & ~split & (F.col("seq") > F.col("a"))
+        left = F.when(split & (F.col("seq") >= F.col("p.seq")), F.col("p")).otherwise(F.col("l"))
+        right = F.when(split & (F.col("seq") < F.col("p.seq")), F.col("p")).otherwise(F.col("r"))
+        last_state, state = state, written(s.where(~closed).select("line_id", "seq", "x", "y", left.alias("l"), right.alias("r")))
+        discard(last_state)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    rows = state.select("line_id", "seq", "x", "y", F.col("l.seq").alias("a"), F.col("r.x").alias("bx"), F.col("r.y").alias("by"))
+    rows = rows.repartition("line_id", "a").sortWithinPartitions("line_id", "a", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            starts = np.flatnonzero(held["seq"].to_numpy() == held["a"].to_numpy())
+            if starts[-1]:  # the last segment may go on in the next batch
+                yield from _split_all(held.slice(0, starts[-1]), eps)
+                held = held.slice(starts[-1])
+        if held is not None:
+            yield from _split_all(held, eps)
+
+    return rows.mapInArrow(run, kind)
+
+
+def _split_all(table: pa.Table, eps: float) -> list[pa.RecordBatch]:
+    """The rows that stay of whole segments."""
+    x, y, bx, by = (table[c].to_numpy().astype(np.float64) for c in ("x", "y", "bx", "by"))
+    starts = np.flatnonzero(table["seq"].to_numpy() == table["a"].to_numpy())
+    kept = np.zeros(len(x), dtype=bool)
+    kept[starts] = True
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+        px, py = np.append(x[a:b], bx[a]), np.append(y[a:b], by[a])
+        stack = [(0, b - a)]
+        while stack:
+            i, j = stack.pop()
+            if j - i < 2:
+                continue
+            dx, dy = px[j] - px[i], py[j] - py[i]
+            square = dx * dx + dy * dy
+            ux, uy = px[i + 1 : j] - px[i], py[i + 1 : j] - py[i]
+            t = np.clip((ux * dx + uy * dy) / square, 0.0, 1.0) if square else np.zeros(j - i - 1)
+            d = np.hypot(ux - t * dx, uy - t * dy)
+            at = int(np.argmax(d))
+            if d[at] > eps:
+                kept[a + i + 1 + at] = True
+                stack += [(i, i + 1 + at), (i + 1 + at, j)]
+    return table.select(["line_id", "seq", "x", "y"]).filter(pa.array(kept)).combine_chunks().to_batches()
 
 
 def fit_bezier(lines: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Least-squares cubic segments: line_id, first and last seq, and control points p0 to p3.
 
-    A segment whose largest error exceeds the tolerance is split there; all
-    segments of a round are fitted by one aggregation.
+    A segment whose largest error exceeds the tolerance is split there. Every
+    point carries its segment, one that ends a segment and begins another is
+    there twice, and points of segments that are done are left behind: a round
+    fits and splits all open segments by their own points.
     """
     n = F.count("*").over(_all())
-    points = written(lines.withColumns({"k": F.row_number().over(_by()) - 1, "n": n}).where("n >= 2").select("line_id", "k", "x", "y", "n"))
-    open_ = written(points.where("k = 0").select("line_id", F.lit(0).alias("a"), (F.col("n") - 1).cast("int").alias("b")))
+    points = lines.withColumns({"k": F.row_number().over(_by()) - 1, "n": n}).where("n >= 2")
+    points = written(points.select("line_id", "k", "x", "y", F.lit(0).alias("a"), (F.col("n") - 1).cast("int").alias("b")))
     done = None
-    while open_.limit(1).count():
-        fitted = written(_fit_round(points, open_, tolerance))
+    while True:
+        fitted = written(_fit_round(points, tolerance))
         closed = fitted.where("split is null").drop("split")
         done = closed if done is None else done.unionByName(closed)
-        halves = F.explode(F.array(F.struct("a", F.col("split").alias("b")), F.struct(F.col("split").alias("a"), "b")))
-        open_ = fitted.where("split is not null").select("line_id", halves.alias("h"))
-        open_ = written(open_.select("line_id", F.col("h.a").alias("a"), F.col("h.b").alias("b")))
-    if done is None:
-        done = _fit_round(points, open_, tolerance).drop("split")
-    return done
-
-
-def _fit_round(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
+        open_ = fitted.where("split is not null").select("line_id", "a", "b", "split")
+        if not open_.limit(1).count():
+            return done
+        left, right = F.struct("a", F.col("split").alias("b")), F.struct(F.col("split").alias("a"), "b")
+        halves = F.when(F.col("k") < F.col("split"), F.array(left)).when(F.col("k") > F.col("split"), F.array(right)).otherwise(F.array(left, right))
+        last = points
+        points = points.join(open_, ["line_id", "a", "b"]).select("line_id", "k", "x", "y", F.explode(halves).alias("h"))
+        points = written(points.select("line_id", "k", "x", "y", "h.a", "h.b"))
+        discard(last)
+
+
+def _fit_round(df: DataFrame, tolerance: float) -> DataFrame:
+    """line_id, a, b, the control points, and where to split, of the segments (line_id, a, b) of points k, x, y."""
     keys = ["line_id", "a", "b"]
-    df = points.join(segments, "line_id").where("k between a and b")
     by, every = Window.partitionBy(*keys).orderBy("k"), Window.partitionBy(*keys)
     step = F.coalesce(g.distance(F.lag("x").over(by), F.lag("y").over(by), "x", "y"), F.lit(0.0))
     at = lambda i: F.max(F.when(F.col("k") == i, F.struct("x", "y"))).over(every)
@@ -188,10 +243,10 @@ def _fit_round(points: DataFrame, segments: DataFrame, tolerance: float) -> Data
         ctrl[f"{c}2"] = F.col(f"q.{c}") + F.col(f"t2{c}") * F.col("ar")
     df = df.withColumns(ctrl)
     err = g.distance("x", "y", _cubic("x", v), _cubic("y", v))
-    df = df.withColumn("err", F.when((F.col("k") > F.col("a")) & (F.col("k") < F.col("b")), err))
+    inner = (F.col("k") > F.col("a")) & (F.col("k") < F.col("b"))
+    df = df.withColumn("far", F.when(inner, F.struct(err.alias("err"), (-F.col("k")).alias("m"))))
     out = df.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in ctrl], F.max("err").alias("worst"),
-        F.min_by("k", F.struct(-F.col("err"), F.col("k"))).alias("at"),
+        *[F.first(c).alias(c) for c in ctrl], F.max("far.err").alias("worst"), (-F.max("far")["m"]).alias("at"),
     )
     ends = (F.col("worst") > tolerance) & (F.col("at") > F.col("a") + 1) & (F.col("at") < F.col("b") - 1)
     return out.select(*keys, *ctrl, F.when(ends, F.col("at").cast("int")).alias("split"))

@@ -341,6 +341,19 @@ select image_id, (c%32)::bigint x, (c//32)::bigint y from u"""
 CANVAS = f"""select image_id, trunc((x - s_suppkey % 5) / (1 + s_suppkey % 3))::bigint x, trunc((y - s_suppkey % 7) / (1 + s_suppkey % 3))::bigint y
 from (select session_id image_id, x, y from ({t.CLICKS})) join supplier on s_suppkey = image_id"""
 
+ROUND_TRIP = f"with {NORM}, nm as ({NAMES}) select specimen_name, harmonic, a, b, c, d from norm join nm on image_id = outline_id"
+NEAREST = f"""with o as ({t.OUTLINES}), c as (select session_id * 1000000 + click_seq point_id, session_id outline_id, x/10 - 5 px, y/10 - 5 py from ({t.CLICKS})),
+  d as (select point_id, outline_id, seq, sqrt((px-x)*(px-x) + (py-y)*(py-y)) distance from c join o using (outline_id))
+select point_id, outline_id, seq, distance from d qualify row_number() over (partition by point_id order by distance, seq) = 1"""
+TARGETS = f"""select p_partkey image_id, greatest(1, least(p_size*1000, round_even(p_size*1000 * greatest(0.001e0, least(100, p_retailprice::double/15 - 5)) / 100e0, 0)))::bigint pixels,
+  {even("greatest(1, least(p_size*1000, p_partkey*13 - 50)) / (p_size*1000)::double * 100", 2)} percent from part"""
+LOCKED = "select event_id, coalesce(try_cast(case when event_id % 3 = 0 then event_type else regexp_extract(props, '([0-9]+)', 1) end as double), 0) angle from events"
+CLAMPED = "select c_custkey customer, (case when c_custkey % 5 = 0 then 10 else greatest(1, least(100, c_custkey % 130 - 10)) end)::bigint harmonics from customer"
+DIRECTIONS = f"""with n as (select session_id, x, y, (row_number() over (partition by session_id order by click_seq) - 1) k from ({t.CLICKS})),
+  p as (select a.session_id, a.k//2 op_seq, a.x x1, a.y y1, b.x - a.x dx, b.y - a.y dy from n a join n b on b.session_id = a.session_id and b.k = a.k + 1 where a.k % 2 = 0),
+  l as (select *, sqrt(dx*dx + dy*dy) l from p)
+select session_id, op_seq, case when l < 1e-6 then 0 else dx/l end dx, case when l < 1e-6 then 0 else dy/l end dy, {ratio("greatest(abs(dx), abs(dy))", "least(abs(dx), abs(dy))", 2)} aspect from l"""
+
 ORACLE_SQL: dict[str, str] = {
     "outline_perimeter_area": _rounded(PERIMETER_AREA, "perimeter signed_area area", 6),
     "outline_shape_metrics": _rounded(SHAPE, "perimeter area min_x min_y max_x max_y sum_turning var_turning mean_turning aspect_ratio perimeter_area_ratio circularity", 4),
@@ -395,6 +408,13 @@ ORACLE_SQL: dict[str, str] = {
     "flood_fill": FLOOD,
     "interior_peak": PEAK,
     "prune_dead_ends": PRUNED,
+    "read_images": f"with {P} select {XY}, r::bigint r, g::bigint g, b::bigint b from p",
+    "efd_csv_round_trip": _rounded(ROUND_TRIP, "a b c d", 6),
+    "nearest_vertex": _rounded(NEAREST, "distance", 6),
+    "target_pixels": _rounded(TARGETS, "percent", 6),
+    "locked_angle": _rounded(LOCKED, "angle", 6),
+    "harmonic_clamp": CLAMPED,
+    "line_direction": _rounded(DIRECTIONS, "dx dy aspect", 6),
     "carve": CARVED,
     "image_to_pixel": f"select * from ({CANVAS}) where x between 0 and 319 and y between 0 and 319",
 }

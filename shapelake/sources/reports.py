@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shapelake.sources.csv_blocks import EfdCsv
+
 
 def name_specimens(images: DataFrame) -> DataFrame:
     """image_id and specimen_name: a trimmed name where there is one, else ``Specimen`` and the place by seq.
@@ -44,9 +46,24 @@ def efd_csv_lines(banked: DataFrame) -> DataFrame:
     return key.select("outline_id", fixed.alias("f")).select("outline_id", "f.line_no", "f.line").unionByName(detail)
 
 
-def write_efd_csv(lines: DataFrame, path: str) -> None:
-    """The blocks as text files in order; a range sort, so no task holds all lines."""
-    lines.orderBy("outline_id", "line_no").select("line").write.text(path)
+def write_efd_csv(lines: DataFrame, path: str, files: int | None = None) -> None:
+    """The lines of ``efd_csv_lines`` as text files in order, with a blank line between blocks and none after the last.
+
+    Blocks are dealt by ranges, into so many files at most, and stay whole, so
+    that no task holds all lines.
+    """
+    lines.sparkSession.dataSource.register(EfdCsv)
+    last = lines.agg(F.max("outline_id")).first()[0]
+    keep = lines.where((F.col("outline_id") != F.lit(last)) | (F.col("line") != "")) if last is not None else lines
+    dealt = keep.repartitionByRange(files, "outline_id") if files else keep.repartitionByRange("outline_id")
+    ordered = dealt.sortWithinPartitions("outline_id", "line_no")
+    ordered.select("line").write.format("efd_csv").mode("overwrite").save(path)
+
+
+def read_efd_csv(spark: SparkSession, path: str) -> DataFrame:
+    """specimen_name, harmonic, a, b, c, d of files that ``write_efd_csv`` wrote."""
+    spark.dataSource.register(EfdCsv)
+    return spark.read.format("efd_csv").load(path)
 
 
 def metadata_summary(metrics: DataFrame, efd: DataFrame) -> DataFrame:
