@@ -81,6 +81,14 @@ def _may_fail(body: Column) -> Column:
     return body.rlike("[!#*$%&<|>»•·]") | reduce(or_, (low.contains(x) for x in BOILERPLATE))
 
 
+def _free_prefix(docs: DataFrame) -> str:
+    """With which no column's name begins."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def word_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long) over whole texts.
 
@@ -88,37 +96,38 @@ def word_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     compared within one text only.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    own = _free_prefix(docs)  # the columns that only this function sees
     words = F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
-    df = docs.withColumns({"_words": words, "_lines": lines})
+    df = docs.withColumns({f"{own}words": words, f"{own}lines": lines})
     df = df.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size(f"{own}words").cast("long"),
+            "word_chars": F.length(F.array_join(f"{own}words", "")).cast("long"),
             "n_symbols": F.regexp_count(body, F.lit(SYMBOL)).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_keys": F.when(
-                F.size("_words") >= 3,
+            "n_dup_lines": (F.size(f"{own}lines") - F.size(F.array_distinct(f"{own}lines"))).cast("long"),
+            f"{own}keys": F.when(
+                F.size(f"{own}words") >= 3,
                 F.transform(
-                    F.sequence(F.lit(0), F.size("_words") - 3),
+                    F.sequence(F.lit(0), F.size(f"{own}words") - 3),
                     lambda i: F.xxhash64(
-                        F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)
+                        F.get(f"{own}words", i), F.get(f"{own}words", i + 1), F.get(f"{own}words", i + 2)
                     ),
                 ),
             ).otherwise(F.array().cast("array<bigint>")),
         }
-    ).drop("_words", "_lines")
+    ).drop(f"{own}words", f"{own}lines")
     # Most texts repeat no window: a sort of plain longs tells so; only the others sort keys with positions.
-    df = df.withColumn("_repeats", F.size("_keys") > F.size(F.array_distinct("_keys")))
-    at = F.transform("_keys", lambda k, i: F.struct(k.alias("k"), i.alias("i")))
-    df = df.withColumn("_at", F.when(F.col("_repeats"), F.sort_array(at))).drop("_keys")
-    same = lambda x, j: F.coalesce(F.get("_at", j)["k"] == x["k"], F.lit(False))
-    starts = F.transform(F.filter("_at", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"])
-    df = df.withColumn("_starts", F.sort_array(starts)).drop("_at")
-    reach = F.transform("_starts", lambda p, j: F.least(F.coalesce(F.get("_starts", j + 1) - p, F.lit(3)), F.lit(3)))
+    df = df.withColumn(f"{own}repeats", F.size(f"{own}keys") > F.size(F.array_distinct(f"{own}keys")))
+    at = F.transform(f"{own}keys", lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+    df = df.withColumn(f"{own}at", F.when(F.col(f"{own}repeats"), F.sort_array(at))).drop(f"{own}keys")
+    same = lambda x, j: F.coalesce(F.get(f"{own}at", j)["k"] == x["k"], F.lit(False))
+    starts = F.transform(F.filter(f"{own}at", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"])
+    df = df.withColumn(f"{own}starts", F.sort_array(starts)).drop(f"{own}at")
+    reach = F.transform(f"{own}starts", lambda p, j: F.least(F.coalesce(F.get(f"{own}starts", j + 1) - p, F.lit(3)), F.lit(3)))
     total = F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", F.when(F.col("_repeats"), total).otherwise(F.lit(0).cast("long"))).drop(
-        "_starts", "_repeats"
+    return df.withColumn("n_repeat_words", F.when(F.col(f"{own}repeats"), total).otherwise(F.lit(0).cast("long"))).drop(
+        f"{own}starts", f"{own}repeats"
     )
 
 

@@ -22,7 +22,8 @@ def mix_documents(docs: DataFrame, found: dict | None = None, **options) -> Data
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found: dict = {}
-    out = mix_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), found)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = mix_documents(docs, found, order=("doc_id", "text"))  # rows that share an id, or have none, are in an order too
     patterns = found["patterns"]
     exact = weighted_quotas().exact(patterns)
     sources = spark.createDataFrame(
