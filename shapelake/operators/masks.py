@@ -418,7 +418,8 @@ def rasterize(outlines: DataFrame) -> DataFrame:
     at = F.col("x") + (F.col("row") + 0.5 - F.col("y")) / (F.col("ny") - F.col("y")) * (F.col("nx") - F.col("x"))
     e = e.select("outline_id", "row", at.alias("at"))
     order = Window.partitionBy("outline_id", "row").orderBy("at")
-    e = e.withColumns({"to": F.lead("at").over(order), "k": F.row_number().over(order)}).where("k % 2 = 1 and to is not null")
-    a, b = F.ceil(F.col("at") - 0.5).cast("int"), F.floor(F.col("to") - 0.5).cast("int")
-    e = e.where(a <= b).select(F.col("outline_id").alias("image_id"), F.explode(F.sequence(a, b)).alias("x"), F.col("row").alias("y"))
-    return e.distinct()
+    a, b = F.ceil(F.col("at") - 0.5).cast("int"), F.floor(F.lead("at").over(order) - 0.5).cast("int")
+    e = e.withColumns({"a": a, "b": b, "k": F.row_number().over(order)})
+    # Spans that touch share a pixel, which the first has: without it no pixel comes twice.
+    e = e.withColumn("a", F.greatest("a", F.lag("b", 2).over(order) + 1)).where("k % 2 = 1 and a <= b")
+    return e.select(F.col("outline_id").alias("image_id"), F.explode(F.sequence("a", "b")).alias("x"), F.col("row").alias("y"))

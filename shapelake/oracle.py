@@ -354,6 +354,16 @@ DIRECTIONS = f"""with n as (select session_id, x, y, (row_number() over (partiti
   l as (select *, sqrt(dx*dx + dy*dy) l from p)
 select session_id, op_seq, case when l < 1e-6 then 0 else dx/l end dx, case when l < 1e-6 then 0 else dy/l end dy, {ratio("greatest(abs(dx), abs(dy))", "least(abs(dx), abs(dy))", 2)} aspect from l"""
 
+# Segments (a, b) of a line's list of points, each cut at its farthest point while that is beyond 20.
+_ALONG = "greatest(0, least(1, coalesce(((p[k].x-p[a].x)*(p[b].x-p[a].x) + (p[k].y-p[a].y)*(p[b].y-p[a].y)) / nullif((p[b].x-p[a].x)*(p[b].x-p[a].x) + (p[b].y-p[a].y)*(p[b].y-p[a].y), 0), 0)))"
+_OFF = f"sqrt(pow(p[k].x - p[a].x - {_ALONG}*(p[b].x-p[a].x), 2) + pow(p[k].y - p[a].y - {_ALONG}*(p[b].y-p[a].y), 2))"
+SIMPLIFIED = f"""with recursive {L}, pt as (select line_id, list(struct_pack(x := x, y := y) order by seq) p, list(seq order by seq) s, count(*) n from l group by 1),
+  sg(line_id, a, b) as (select line_id, 1::bigint, n from pt union all select line_id, unnest([a, m]), unnest([m, b]) from (
+    select line_id, a, b, a + list_position(ds, list_max(ds)) m, list_max(ds) d from (
+      select sg.line_id, a, b, list_transform(range(a + 1, b), lambda k: {_OFF}) ds from sg join pt using (line_id) where b > a + 1)) where d > 20),
+  kp as (select line_id, a k from sg union select line_id, b from sg)
+select line_id, s[k] seq, p[k].x x, p[k].y y from kp join pt using (line_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "outline_perimeter_area": _rounded(PERIMETER_AREA, "perimeter signed_area area", 6),
     "outline_shape_metrics": _rounded(SHAPE, "perimeter area min_x min_y max_x max_y sum_turning var_turning mean_turning aspect_ratio perimeter_area_ratio circularity", 4),
@@ -415,6 +425,7 @@ ORACLE_SQL: dict[str, str] = {
     "locked_angle": _rounded(LOCKED, "angle", 6),
     "harmonic_clamp": CLAMPED,
     "line_direction": _rounded(DIRECTIONS, "dx dy aspect", 6),
+    "simplify": _rounded(SIMPLIFIED, "x y", 6),
     "carve": CARVED,
     "image_to_pixel": f"select * from ({CANVAS}) where x between 0 and 319 and y between 0 and 319",
 }

@@ -260,3 +260,14 @@ def test_csv_files_in_order(spark, tmp_path):
     assert [b.split("\nharmonic")[0].strip('"').replace('""', '"') for b in blocks] == [r.specimen_name for r in names.orderBy("image_id").collect()]
     back = {(r.specimen_name, r.harmonic): tuple(r)[2:] for r in reports.read_efd_csv(spark, path).collect()}
     assert back == {(r.specimen_name, r.harmonic): (r.a, r.b, r.c, r.d) for r in banked.collect()}
+
+
+def test_segment_takes_flooding_where_watershed_finds_nothing(spark):
+    of = lambda name: pixels_of(catalog.QUERIES[name](spark, SF))
+    by_watershed, by_flood, got = of("watershed"), of("flood_fill"), of("segment")
+    assert got == {i: by_watershed.get(i, by_flood[i]) for i in by_flood}
+    # A background that holds all but the seed leaves no room for a watershed.
+    px = spark.createDataFrame([(1, x, y, 100, 100, 100) for x, y in cells(12, 12)], "image_id long, x int, y int, r int, g int, b int")
+    back = spark.createDataFrame([(1, x, y) for x, y in cells(12, 12) if not (4 <= x <= 6 and y == 5)], "image_id long, x int, y int")
+    click = spark.createDataFrame([(1, 5, 5)], "image_id long, x int, y int")
+    assert pixels_of(regions.segment(px, click, back)) == {1: {(4, 5), (5, 5), (6, 5)}}
