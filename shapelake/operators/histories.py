@@ -35,6 +35,7 @@ from shapelake.plans.rounds import written
 LOG = ["event_seq", "action", "kind", "measure"]
 CODES = {"commit": 1, "undo": 2, "redo": 3}
 EVENTS = "event_seq array<long>, action array<string>, kind array<string>, measure array<double>"
+STATES = "cursor long, length long, end_cursor long, end_length long"
 SUMMARY = "shift long, low array<long>, high array<long>, cursors array<long>, lengths array<long>, commits boolean"
 
 
@@ -95,13 +96,13 @@ def evaluate(summary: tuple, cursor: int, length: int) -> tuple[int, int]:
 
 def _chunks(size: int):
     """Rows of a log in order to chunks, each with its start or its summary."""
-    names = ["session_id", "part", "k", *LOG, "cursor", "length", *[x.split()[0] for x in SUMMARY.split(", ")]]
+    names = ["session_id", "part", "k", *LOG, *[x.split()[0] for x in f"{STATES}, {SUMMARY}".split(", ")]]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         schema = pa.schema(list(zip(names, [
             pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64()),
-            pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.bool_(),
+            *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 4, pa.bool_(),
         ], strict=True)))
         rows, held, first, current, k, state = [], [], True, object(), 0, (0, 0)
 
@@ -110,10 +111,10 @@ def _chunks(size: int):
             if held:
                 events = [list(c) for c in zip(*held, strict=True)]
                 if state is None:
-                    rows.append((current, part, k, *events, None, None, *summarise(events[1])))
+                    rows.append((current, part, k, *events, None, None, None, None, *summarise(events[1])))
                 else:
-                    rows.append((current, part, k, *events, *state, None, None, None, None, None, None))
-                    state = tuple(int(x) for x in advance(_runs(events[1]), *state))
+                    start, state = state, tuple(int(x) for x in advance(_runs(events[1]), *state))
+                    rows.append((current, part, k, *events, *start, *state, None, None, None, None, None, None))
                 held, k = [], k + 1
 
         def flush() -> pa.RecordBatch:
@@ -140,16 +141,16 @@ def _chunks(size: int):
 
 
 def _resolve(chunks: pd.DataFrame) -> pd.DataFrame:
-    """Starts of one session's chunks, of which the first one's is known."""
+    """Starts of one session's chunks, of which the first one's is known: a row a chunk, without its events."""
     chunks, out, state = chunks.sort_values(["part", "k"]), [], (0, 0)
     for row in chunks.itertuples():
-        if not pd.isna(row.cursor):
-            state = (int(row.cursor), int(row.length))
-        out.append(state)
-        if row.low is not None:
-            state = evaluate((row.shift, row.low, row.high, row.cursors, row.lengths, row.commits), *state)
+        if pd.isna(row.cursor):
+            out.append(state)
+            found = evaluate((int(row.shift), row.low, row.high, row.cursors, row.lengths, row.commits), *state)
+            state = tuple(int(x) for x in found)
         else:
-            state = tuple(int(x) for x in advance(_runs(list(row.action)), *state))
+            out.append((int(row.cursor), int(row.length)))
+            state = int(row.end_cursor), int(row.end_length)
     cursors, lengths = zip(*out, strict=True)
     return chunks[["session_id", "part", "k"]].assign(cursor=cursors, length=lengths)
 
@@ -190,11 +191,11 @@ def surviving(op_log: DataFrame, chunk: int = 4096) -> DataFrame:
     log = op_log.select(F.col("session_id").cast("long").alias("session_id"), F.col("event_seq").cast("long").alias("event_seq"), "action", "kind", F.col("measure").cast("double").alias("measure"))
     log = log.repartitionByRange(*order).sortWithinPartitions(*order)
     keys = "session_id long, part int, k long"
-    chunks = written(log.mapInArrow(_chunks(chunk), f"{keys}, {EVENTS}, cursor long, length long, {SUMMARY}"))
+    chunks = written(log.mapInArrow(_chunks(chunk), f"{keys}, {EVENTS}, {STATES}, {SUMMARY}"))
     # At most one session of each task is open.
     opened = F.broadcast(chunks.where("cursor is null").select("session_id").distinct())
     of_open = chunks.alias("c").join(opened.alias("o"), _same("c", "o", "session_id"), "left_semi")
-    starts = of_open.drop("event_seq", "kind", "measure").groupBy("session_id").applyInPandas(_resolve, f"{keys}, cursor long, length long")
+    starts = of_open.drop(*LOG).groupBy("session_id").applyInPandas(_resolve, f"{keys}, cursor long, length long")
     starts = written(starts)
     found = chunks.alias("c").join(starts.alias("s"), _same("c", "s", "session_id", "part", "k"), "left")
     start = lambda c: F.coalesce(f"s.{c}", f"c.{c}").alias(c)

@@ -66,8 +66,26 @@ def log_of(sizes, seed, weights):
 @pytest.mark.parametrize("chunk,weights", [(7, (5, 4, 3, 1)), (16, (2, 5, 4, 0)), (4096, (6, 3, 2, 1))])
 def test_one_session_holds_most_events(spark, chunk, weights):
     rows = log_of({1: 3000, 2: 40, 3: 1, None: 200, 9: 60}, chunk, weights)
-    got = h.replay_history(spark.createDataFrame(rows, SCHEMA), chunk)
-    assert sorted(map(tuple, got.collect()), key=str) == by_hand(rows)
+    # As many ranges as there are partitions: the long session spreads over several of them.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = h.replay_history(spark.createDataFrame(rows, SCHEMA), chunk)
+        assert sorted(map(tuple, got.collect()), key=str) == by_hand(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_starts_come_from_summaries(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(h, "written", lambda df, w=h.written: seen.append(w(df)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = log_of({1: 900}, 3, (3, 5, 4, 1))
+        got = h.replay_history(spark.createDataFrame(rows, SCHEMA), 50)
+        assert sorted(map(tuple, got.collect()), key=str) == by_hand(rows)
+        assert seen[0].where("cursor is null").count() > 5 and seen[1].count() >= seen[0].where("cursor is null").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_latest_and_empty(spark):
