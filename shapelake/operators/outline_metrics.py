@@ -160,9 +160,13 @@ def self_intersections(outlines: DataFrame) -> DataFrame:
     return outlines.select("outline_id").distinct().join(crossing, "outline_id", "left").fillna(False, ["intersects"])
 
 
-def resample(outlines: DataFrame, spacing: float = 4.0) -> DataFrame:
-    """Vertices at equal arc length, max(3, round(length / spacing)) of them, the first kept; without closure."""
-    df = with_neighbours(without_closure(outlines))
+def resample(outlines: DataFrame, spacing: float = 4.0, closed: bool = True) -> DataFrame:
+    """Vertices at equal arc length, max(3, round(length / spacing)) of them, the first kept; without closure.
+
+    Outlines that are not ``closed`` have no closing duplicate: a last vertex
+    beside the first is one of their own.
+    """
+    df = with_neighbours(without_closure(outlines) if closed else outlines)
     df = df.withColumn("step", g.distance("x", "y", "nx", "ny"))
     df = df.withColumns({
         "at": F.sum("step").over(_by().rowsBetween(Window.unboundedPreceding, 0)) - F.col("step"),
@@ -183,11 +187,11 @@ def resample(outlines: DataFrame, spacing: float = 4.0) -> DataFrame:
     )
 
 
-def smooth(outlines: DataFrame, passes: int, spacing: float = 4.0) -> DataFrame:
+def smooth(outlines: DataFrame, passes: int, spacing: float = 4.0, closed: bool = True) -> DataFrame:
     """Resampled vertices after so many cyclic 1-2-1 averages, as one convolution with binomial weights."""
     from math import comb
 
-    df = resample(outlines, spacing)
+    df = resample(outlines, spacing, closed)
     df = df.withColumn("n", F.count("*").over(Window.partitionBy("outline_id")))
     weights = [(j - passes, comb(2 * passes, j) / 4.0**passes) for j in range(2 * passes + 1)]
     offsets = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(w).alias("w")) for j, w in weights]))
