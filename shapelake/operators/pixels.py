@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapelake.functions import geometry as g
-from shapelake.plans.rounds import sorted_join
+from shapelake.plans.rounds import sorted_join, written
+from shapelake.plans.tiles import KEY, TILE, TILE_KEY, Square, repeated, tiled
 
 CHANNELS = ("r", "g", "b")
+#: Pixels that a task sorts at once.
+AT_ONCE = 1 << 20
 
 
 def dimensions(pixels: DataFrame) -> DataFrame:
@@ -43,11 +48,6 @@ def downsample(pixels: DataFrame, target: int) -> DataFrame:
     return sorted_join(grid).join(pixels, ["image_id", "x", "y"]).select("image_id", F.col("dx").alias("x"), F.col("dy").alias("y"), *CHANNELS)
 
 
-def _with_size(pixels: DataFrame) -> DataFrame:
-    every = Window.partitionBy("image_id")
-    return pixels.withColumns({"w": F.max("x").over(every) + 1, "h": F.max("y").over(every) + 1})
-
-
 def corner_patch(side: Column) -> Column:
     return F.greatest(F.lit(4), F.least(F.lit(20), F.floor(side / 10))).cast("int")
 
@@ -96,17 +96,50 @@ def _neighbourhood(pixels: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def box_blur(pixels: DataFrame, passes: int = 1) -> DataFrame:
-    """3 by 3 means in whole numbers; border pixels become 0."""
-    for _ in range(passes):
-        df = _neighbourhood(_with_size(pixels), list(CHANNELS))
-        border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("w") - 1) | (F.col("y") == F.col("h") - 1)
-
-        def mean(c: str) -> Column:
-            parts = [f"{c}{a}{b}" for a in ("", "_m", "_p") for b in ("", "_u", "_d")]
-            return F.floor(sum((F.col(k) for k in parts), F.lit(0)) / 9).cast("int")
-
-        pixels = df.select("image_id", "x", "y", *[F.when(border, 0).otherwise(mean(c)).alias(c) for c in CHANNELS])
-    return pixels
+    """3 by 3 means in whole numbers; border pixels become 0, and those beside a missing pixel null.
+
+    All passes are one over tiles with a rim as wide as their number. Tiles are
+    dealt so that a task sorts about ``AT_ONCE`` pixels, however many there are.
+    """
+    if passes < 1:
+        return pixels
+    dims = written(dimensions(pixels))
+    area = dims.agg(F.sum(F.col("w").cast("long") * F.col("h"))).first()[0] or 0
+    kind = {f.name: f.dataType.simpleString() for f in pixels.schema}
+
+    def run(tile: pa.Table, size: pa.Table) -> pa.Table:
+        if not tile.num_rows or not size.num_rows:  # a tile beyond the image's edge, or one without pixels
+            return pa.schema([*[tile.schema.field(c) for c in KEY], *[(c, pa.int32()) for c in CHANNELS]]).empty_table()
+        tx, ty, w, h = (size[c][0].as_py() for c in ("tx", "ty", "w", "h"))
+        square = Square(tx, ty, passes, TILE, w, h)
+        known = square.put(square.empty(), tile)
+        px, py = np.arange(square.x0, square.x0 + known.shape[1]), np.arange(square.y0, square.y0 + known.shape[0])[:, None]
+        border = (px == 0) | (py == 0) | (px == w - 1) | (py == h - 1)
+        x, y = square.places(square.own_only(known))
+        out = {"image_id": repeated(tile["image_id"].combine_chunks(), len(x)), "x": pa.array(x, tile["x"].type), "y": pa.array(y, tile["y"].type)}
+        at = y - square.y0, x - square.x0
+        for c in CHANNELS:
+            given = tile[c].combine_chunks()
+            v = square.put(square.empty(float), tile, given.fill_null(0).to_numpy(zero_copy_only=False))
+            there = square.put(square.empty(), tile, given.is_valid().to_numpy(zero_copy_only=False))
+            for _ in range(passes):
+                v, there = np.where(border, 0.0, np.floor(_around(v) / 9)), border | (_around(there.astype(float)) == 9)
+            out[c] = pa.array(v[at].astype(np.int32), pa.int32(), mask=~there[at])
+        return pa.table(out)
+
+    tasks = max(pixels.sparkSession.sparkContext.defaultParallelism, -(-area // AT_ONCE))
+    tiles = tiled(pixels.select(*KEY, *CHANNELS), passes).repartition(tasks, *TILE_KEY)
+    across = [F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / TILE))) for n in ("w", "h")]
+    sizes = dims.withColumn("tx", across[0]).withColumn("ty", across[1]).repartition(tasks, *TILE_KEY)
+    schema = ", ".join(f"{c} {kind[c]}" for c in KEY) + "".join(f", {c} int" for c in CHANNELS)
+    return tiles.groupBy(*TILE_KEY).cogroup(sizes.groupBy(*TILE_KEY)).applyInArrow(run, schema)
+
+
+def _around(v: np.ndarray) -> np.ndarray:
+    """Sums of 3 by 3 values; what lies beyond the edge counts 0."""
+    p = np.pad(v, 1)
+    p = p[:-2] + p[1:-1] + p[2:]
+    return p[:, :-2] + p[:, 1:-1] + p[:, 2:]
 
 
 def sobel_gradient(pixels: DataFrame) -> DataFrame:
