@@ -37,3 +37,11 @@ def test_rows_made_by_an_explode_are_not_broadcast(spark):
     dense = masks.dense(raster.where("r < 5").select(*KEY), pixels.dimensions(raster))
     assert "BroadcastExchange" not in _plan(dense.groupBy().count())
     assert dense.count() == 20 * 1024
+
+
+def test_keys_made_of_several_columns_count_in_full(spark):
+    # As many pixels of components take 3 MB when each column counts 8 bytes, and some 30 MB as a broadcast.
+    own = written(_pixels(spark, 100).select(F.struct("image_id", "x", "y").alias("image_id"), "x", "y"))
+    other = _pixels(spark, 110).select(F.struct("image_id", "x", "y").alias("image_id"), "x", "y")
+    assert "BroadcastExchange" not in _plan(other.join(own, KEY, "left_anti").groupBy().count())
+    assert other.join(own, KEY, "left_anti").count() == 10 * 1024
