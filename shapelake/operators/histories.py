@@ -36,6 +36,8 @@ LOG = ["event_seq", "action", "kind", "measure"]
 CODES = {"commit": 1, "undo": 2, "redo": 3}
 EVENTS = "event_seq array<long>, action array<string>, kind array<string>, measure array<double>"
 STATES = "cursor long, length long, end_cursor long, end_length long"
+#: Events that a Python worker holds at once as objects, besides the chunk it is at and the batch it was sent.
+AT_ONCE = 1 << 14
 SUMMARY = "shift long, low array<long>, high array<long>, cursors array<long>, lengths array<long>, commits boolean"
 
 
@@ -104,11 +106,12 @@ def _chunks(size: int):
             pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64()),
             *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 4, pa.bool_(),
         ], strict=True)))
-        rows, held, first, current, k, state = [], [], True, object(), 0, (0, 0)
+        rows, waiting, held, first, current, k, state = [], 0, [], True, object(), 0, (0, 0)
 
         def close():
-            nonlocal held, k, state
+            nonlocal waiting, held, k, state
             if held:
+                waiting += len(held)
                 events = [list(c) for c in zip(*held, strict=True)]
                 if state is None:
                     rows.append((current, part, k, *events, None, None, None, None, *summarise(events[1])))
@@ -118,9 +121,9 @@ def _chunks(size: int):
                 held, k = [], k + 1
 
         def flush() -> pa.RecordBatch:
-            nonlocal rows
+            nonlocal rows, waiting
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            rows = []
+            rows, waiting = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -132,8 +135,8 @@ def _chunks(size: int):
                     state = None if first and part else (0, 0)
                     first, current, k = False, session, 0
                 held.append(event)
-            if len(rows) >= 64:
-                yield flush()
+                if waiting >= AT_ONCE:
+                    yield flush()
         close()
         yield flush()
 
@@ -159,9 +162,15 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each chunk the last commit of every place, and a row without a place for the cursor after it."""
     names = ["session_id", "part", "k", "place", *LOG[:1], *LOG[2:], "cursor"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64()]
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names)
+
+    rows = []
     for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
+        for n in range(batch.num_rows):  # a batch holds up to 10,000 chunks: one at a time becomes objects
+            row = batch.slice(n, 1).to_pylist()[0]
             cursor, length, last = row["cursor"], row["length"], {}
             for i, action in enumerate(row["action"]):
                 if action == "commit":
@@ -174,8 +183,10 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = (row["session_id"], row["part"], row["k"])
             rows += [(*at, place, row["event_seq"][i], row["kind"][i], row["measure"][i], None) for place, i in last.items()]
             rows.append((*at, None, None, None, None, cursor))
-        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names)
+            if len(rows) >= AT_ONCE:
+                yield flush(rows)
+                rows = []
+    yield flush(rows)
 
 
 def _same(a: str, b: str, *columns: str):

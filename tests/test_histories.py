@@ -94,3 +94,14 @@ def test_latest_and_empty(spark):
     got = {r.session_id: (r.kind, r.measure, r.relative) for r in h.latest_result(log, 2).collect()}
     assert got == {1: ("line", 6.0, 1.5), 2: (None, 0.0, None), None: ("shape", 2.0, None)}
     assert h.replay_history(log.limit(0)).count() == 0 and h.latest_result(log.limit(0)).count() == 0
+
+
+def test_a_batch_of_many_chunks_is_replayed_piece_by_piece():
+    import pyarrow as pa
+
+    chunks, events = 3000, 20
+    held = {"session_id": range(chunks), "part": [0] * chunks, "k": [0] * chunks, "cursor": [0] * chunks, "length": [0] * chunks}
+    each = {"event_seq": list(range(events)), "action": ["commit"] * events, "kind": ["a"] * events, "measure": [0.5] * events}
+    batch = pa.RecordBatch.from_pydict({**{c: list(v) for c, v in held.items()}, **{c: [v] * chunks for c, v in each.items()}})
+    sizes = [b.num_rows for b in h._replay(iter([batch]))]
+    assert sum(sizes) == chunks * (events + 1) and max(sizes) <= h.AT_ONCE + events + 1
