@@ -219,19 +219,27 @@ def nearest_vertex(points: DataFrame, outlines: DataFrame, fan: int = 64) -> Dat
         up = nodes.groupBy("outline_id", F.floor(F.col("idx") / fan).alias("idx"))
         nodes = written(up.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")))
         levels.append(nodes)
-    beyond = lambda p, low, high: F.greatest(F.col(low) - F.col(p), F.col(p) - F.col(high), F.lit(0.0))
-    across = lambda p, low, high: F.greatest(F.abs(F.col(p) - F.col(low)), F.abs(F.col(p) - F.col(high)))
-    near, far = (F.sqrt(f("px", "x0", "x1") ** 2 + f("py", "y0", "y1") ** 2) for f in (beyond, across))
+    beyond = lambda p, low, high: F.greatest(low - F.col(p), F.col(p) - high, F.lit(0.0))
+    across = lambda p, low, high: F.greatest(F.abs(F.col(p) - low), F.abs(F.col(p) - high))
+    reach = lambda o, f: F.sqrt(f("px", o["x0"], o["x1"]) ** 2 + f("py", o["y0"], o["y1"]) ** 2)
+
+    def boxed(table: DataFrame, *columns: str) -> DataFrame:
+        """A row a box, with all that lies in it: a point then meets a box in one row, and not in ``fan``."""
+        return table.groupBy("outline_id", F.floor(F.col("idx") / fan).alias("up")).agg(F.collect_list(F.struct(*columns)).alias("in"))
+
     kept = points.where("px is not null and py is not null").select("point_id", "outline_id", "px", "py", F.lit(0).cast("long").alias("up"))
-    for nodes in reversed(levels):
-        below = nodes.withColumn("up", F.floor(F.col("idx") / fan))
-        opened = kept.join(below, ["outline_id", "up"]).withColumns({"near": near, "far": far})
-        least = F.min("far").over(Window.partitionBy("point_id", "outline_id"))
-        kept = opened.withColumn("least", least).where(F.col("near") <= F.col("least") * (1 + 1e-12))
-        kept = written(kept.select("point_id", "outline_id", "px", "py", F.col("idx").alias("up")))
-    d = g.distance("px", "py", "x", "y")
-    found = kept.join(v.withColumn("up", F.floor(F.col("idx") / fan)), ["outline_id", "up"]).groupBy("point_id", "outline_id")
-    return found.agg(F.min_by("seq", F.struct(d, "seq")).alias("seq"), F.min(d).alias("distance"))
+    for level, nodes in enumerate(reversed(levels)):
+        opened = kept.join(boxed(nodes, "idx", "x0", "x1", "y0", "y1"), ["outline_id", "up"])
+        opened = opened.withColumn("in", F.transform("in", lambda o: F.struct(o["idx"].alias("idx"), reach(o, beyond).alias("near"), reach(o, across).alias("far"))))
+        opened = opened.withColumn("least", F.array_min(F.transform("in", lambda o: o["far"])))
+        if level:  # below the top level a point may have opened several boxes
+            opened = opened.withColumn("least", F.min("least").over(Window.partitionBy("point_id", "outline_id")))
+        inside = F.filter("in", lambda o: o["near"] <= F.col("least") * (1 + 1e-12))
+        kept = written(opened.select("point_id", "outline_id", "px", "py", F.explode(F.transform(inside, lambda o: o["idx"])).alias("up")))
+    away = lambda o: F.struct(g.distance("px", "py", o["x"], o["y"]).alias("d"), o["seq"].alias("seq"))
+    found = kept.join(boxed(v, "seq", "x", "y"), ["outline_id", "up"])
+    found = found.select("point_id", "outline_id", F.array_min(F.transform("in", away)).alias("best")).groupBy("point_id", "outline_id")
+    return found.agg(F.min("best").alias("best")).select("point_id", "outline_id", "best.seq", F.col("best.d").alias("distance"))
 
 
 def pack(outlines: DataFrame) -> DataFrame:

@@ -248,6 +248,17 @@ def test_nearest_vertices_through_boxes(spark):
     assert all(got[p][1] == s for p, (_, s) in want.items() if p != 7)  # the centre is as near to all
 
 
+def test_points_meet_a_box_of_vertices_in_one_row(spark):
+    t = F.col("id") / 50
+    o = spark.range(600).select(F.lit(1).alias("outline_id"), F.col("id").alias("seq"), F.cos(t).alias("x"), F.sin(t).alias("y"))
+    points = spark.range(500).select(F.col("id").alias("point_id"), F.lit(1).alias("outline_id"), (F.col("id") / 100).alias("px"), F.lit(0.3).alias("py"))
+    found = outline_metrics.nearest_vertex(points, o)
+    assert found.count() == 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Every row of the join by box holds the box's vertices, so that sums and sorts have a row for a point and box.
+    assert plan.count("collect_list") >= 1 and "min_by" not in plan
+
+
 def test_csv_files_in_order(spark, tmp_path):
     rows = [(i, h, i / 7 + h, -1e-17 * i, 1 / 3, 2.0**-40 * h) for i in range(50) for h in range(1, 4)]
     efd = spark.createDataFrame(rows, "outline_id long, harmonic int, a double, b double, c double, d double")
