@@ -16,7 +16,7 @@ from shapelake.llm.fuzzy_lines import without_fuzzy_lines
 from shapelake.llm.line_quality import WORD, clean_lines
 from shapelake.llm.q_mixing import mix_documents
 from shapelake.llm.q_packing import pack_documents
-from shapelake.plans.rounds import written
+from shapelake.plans.rounds import result_only, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,10 +49,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _with_row(docs)
     alone = docs.where("doc_id is null")  # each of these stands alone and stays
     named = docs.where("doc_id is not null")
-    found = near_duplicates(named, JoinParameters(), id_column="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    # Of each group the row with the smallest doc_id stays; rows that share an id but not the text are two documents.
-    own = named.select("_row", F.struct("doc_id", F.xxhash64("text").alias("h"), "_row").alias("own"))
-    stay = found.join(own, "_row").groupBy("component_id").agg(F.min("own").alias("own")).select("own._row")
+
+    def kept() -> DataFrame:
+        found = near_duplicates(named, JoinParameters(), id_column="_row").select(F.col("doc_id").alias("_row"), "component_id")
+        # Of each group the row with the smallest doc_id stays; rows that share an id but not the text are two documents.
+        own = named.select("_row", F.struct("doc_id", F.xxhash64("text").alias("h"), "_row").alias("own"))
+        return found.join(own, "_row").groupBy("component_id").agg(F.min("own").alias("own")).select("own._row")
+
+    stay = result_only(kept)
     return named.join(stay, "_row", "left_semi").select(*COLUMNS).unionAll(alone.select(*COLUMNS))
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -379,6 +380,26 @@ def test_keys_are_wider_than_the_number_of_lines():
         assert count >= m + 2 and m * fuzzy_lines.BITS / count >= np.log2(max(n, 2)) + 3
 
 
+def test_links_of_lines_do_not_depend_on_how_many_there_are(spark):
+    p = fuzzy_lines.LineParameters()
+    marks = [(0, 0), (1, 1 | 1 << 14 | 1 << 30 | 1 << 45), (2, 1 << 61 | 1 << 20), (3, (1 << 62) - 1)]
+    groups = spark.createDataFrame(marks, "id long, simhash long")
+    near = lambda n: {(r.id, o.o, o.bits) for r in fuzzy_lines.bucket_members(groups, n, p).collect() for o in r.near}
+    few = near(4)
+    assert {(min(a, b), max(a, b)) for a, b, _ in few} >= {(0, 1), (0, 2)}
+    assert all(near(n) == few for n in (10**6, 10**7, 10**9))
+
+
+def test_tables_on_the_way_to_removed_lines_go(spark):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    base = prose(5, 12, 10**6)
+    docs = table(spark, [(i, f"{base} {'abcdefghijkl'[i] * 5}\nown {'abcdefghijkl'[i] * 9}", "a") for i in range(12)])
+    before = set(os.listdir(folder))
+    got = fuzzy_lines.with_removed(docs)
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert sorted(r.doc_id for r in got.where("removed is not null").collect()) == list(range(1, 12))
+
+
 # Near duplicates
 
 
