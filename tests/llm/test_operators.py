@@ -390,6 +390,19 @@ def test_links_of_lines_do_not_depend_on_how_many_there_are(spark):
     assert all(near(n) == few for n in (10**6, 10**7, 10**9))
 
 
+def test_buckets_of_ordinary_size_are_not_crowded(spark):
+    # 40 lines share two blocks, some a third and fourth; each pair is met once, and lines of other lengths are not near.
+    p, r = fuzzy_lines.LineParameters(), random.Random(9)
+    marks = {i: (r.getrandbits(41) & r.getrandbits(41) & r.getrandbits(41)) << 21 for i in range(40)}
+    of = lambda rows, schema: fuzzy_lines.bucket_members(spark.createDataFrame(rows, schema), len(rows), p).collect()
+    want = {(a, b) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= p.max_bits}
+    got = of(list(marks.items()), "id long, simhash long")
+    pairs = [(min(x.id, o.o), max(x.id, o.o)) for x in got for o in x.near]
+    assert not any(x.crowded for x in got) and sorted(pairs) == sorted(want)
+    got = of([(i, v, 100 if i % 2 else 126) for i, v in marks.items()], "id long, simhash long, length long")
+    assert sorted((min(x.id, o.o), max(x.id, o.o)) for x in got for o in x.near) == sorted((a, b) for a, b in want if a % 2 == b % 2)
+
+
 def test_tables_on_the_way_to_removed_lines_go(spark):
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     base = prose(5, 12, 10**6)
