@@ -332,7 +332,11 @@ def _inner(shape: tuple, square: Square, w: int, h: int) -> np.ndarray:
     return (x > 0) & (y > 0) & (x < w - 1) & (y < h - 1)
 
 
-def clean_shape(mask: DataFrame, dims: DataFrame, opening: int = 2, closing: int = 1, width: int = 3, passes: int = 3) -> DataFrame:
+#: Radius of the opening that a shape is cleaned by.
+OPENING = 2
+
+
+def clean_shape(mask: DataFrame, dims: DataFrame, opening: int = OPENING, closing: int = 1, width: int = 3, passes: int = 3) -> DataFrame:
     """Fills holes, opens by 2, closes by 1, enforces the corridor, smooths the topology, prunes dead ends.
 
     All but the first and the end of the last step look at bounded
@@ -357,12 +361,20 @@ def clean_shape(mask: DataFrame, dims: DataFrame, opening: int = 2, closing: int
 def clean_each_component(mask: DataFrame, dims: DataFrame, least: int = 20) -> DataFrame:
     """``clean_shape`` of every component by itself, small survivors dropped, united.
 
-    A component takes the place of an image, so all are cleaned together.
+    A component takes the place of an image, so all are cleaned together. Of one
+    whose box has no room for the disc of the opening nothing would be left: it
+    is not looked at.
     """
     parts = written(components(mask).withColumn("owner", F.col("image_id")))
-    name = F.struct("owner", "cy", "cx")
-    own = parts.select(name.alias("image_id"), "x", "y")
-    sizes = parts.select("owner", "cy", "cx").distinct().join(dims.withColumnRenamed("image_id", "owner"), "owner")
+    key = ["owner", "cy", "cx"]
+    boxes = parts.groupBy(*key).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    boxes = boxes.join(dims.withColumnRenamed("image_id", "owner"), "owner")
+    # Beyond the image's edge nothing has to be inside.
+    first = lambda c: F.col(f"lo{c}") + F.when(F.col(f"lo{c}") > 0, OPENING).otherwise(0)
+    last = lambda c, n: F.col(f"hi{c}") - F.when(F.col(f"hi{c}") < F.col(n) - 1, OPENING).otherwise(0)
+    sizes = written(boxes.where((first("x") <= last("x", "w")) & (first("y") <= last("y", "h"))).select(*key, "w", "h"))
+    name = F.struct(*key)
+    own = parts.join(sorted_join(sizes.select(*key)), key, "left_semi").select(name.alias("image_id"), "x", "y")
     clean = clean_shape(own, sizes.select(name.alias("image_id"), "w", "h"))
     return union(has_minimum(written(clean), least).select(F.col("image_id.owner").alias("image_id"), "x", "y"))
 

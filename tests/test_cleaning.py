@@ -222,3 +222,20 @@ def flood(image, seed, colour, back):
                     seen.add(q)
                     stack.append(q)
     return seen
+
+
+def test_components_without_room_are_not_cleaned(spark, monkeypatch):
+    box = lambda x, y, w, h: {(x + i, y + j) for i in range(w) for j in range(h)}
+    ring = box(12, 3, 7, 7) - box(14, 5, 3, 3)  # filled before it is opened
+    given = {
+        1: box(0, 0, 6, 6) | box(10, 14, 4, 9) | box(20, 14, 9, 4) | {(9, 2), (25, 2), (26, 2)} | ring,
+        2: box(0, 8, 3, 9) | box(27, 21, 3, 3) | box(8, 0, 9, 3) | box(20, 8, 5, 5) | box(4, 10, 4, 4),
+    }
+    seen = []
+    whole = masks.clean_shape
+    monkeypatch.setattr(masks, "clean_shape", lambda mask, dims: seen.append(dims.count()) or whole(mask, dims))
+    for least in (1, 9):
+        got = pixels_of(masks.clean_each_component(*frames(spark, given, 30, 24), least))
+        want = {i: set().union(*[c for c in (clean_shape(p, 30, 24) for p in parts(m)) if len(c) >= least]) for i, m in given.items()}
+        assert got == {i: m for i, m in want.items() if m}
+    assert seen == [6, 6]
