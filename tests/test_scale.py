@@ -286,3 +286,23 @@ def test_segment_takes_flooding_where_watershed_finds_nothing(spark):
     back = spark.createDataFrame([(1, x, y) for x, y in cells(12, 12) if not (4 <= x <= 6 and y == 5)], "image_id long, x int, y int")
     click = spark.createDataFrame([(1, 5, 5)], "image_id long, x int, y int")
     assert pixels_of(regions.segment(px, click, back)) == {1: {(4, 5), (5, 5), (6, 5)}}
+
+
+def test_watershed_of_one_tile_takes_no_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(6):
+        places = [p for p in cells(13, 9) if rng.random() < 0.95]
+        ranks = rng.sample(range(1, len(places) + 1), len(places))
+        rows += [(i, x, y, k, rng.choice([0, 1, *[None] * 12]) if i else None) for (x, y), k in zip(places, ranks, strict=True)]
+    nodes = spark.createDataFrame(rows, "image_id long, x int, y int, rank long, label int")
+    got = {tuple(r) for r in nodes.groupBy("image_id").applyInArrow(regions._flooded, "image_id long, x int, y int").collect()}
+    assert got == {tuple(r) for r in regions._flooded_in_rounds(nodes).collect()} and len(got) > 50
+    px = spark.createDataFrame([(7, x, y, x * y % 11, x + y, 3) for x, y in cells(12, 12)], "image_id long, x int, y int, r int, g int, b int")
+    seeds = spark.createDataFrame([(7, 6, 6)], "image_id long, x int, y int")
+    want = {tuple(r) for r in regions.watershed(px, seeds).collect()}
+    monkeypatch.setattr(regions, "TILE", 4)
+    assert want == {tuple(r) for r in regions.watershed(px, seeds).collect()} and want
+    monkeypatch.setattr(regions, "TILE", 256)
+    monkeypatch.setattr(regions, "_flooded_in_rounds", None)
+    assert want == {tuple(r) for r in regions.watershed(px, seeds).collect()}
